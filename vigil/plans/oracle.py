@@ -377,10 +377,10 @@ REC_KEY = "sha256(lower(trim(recipient_id)))"
 
 def rep_score(days: int) -> str:
     return (
-        f"case when n_rep = 0 or at >= last_us + {days * DAY} then 0 else "
+        f"case when n_rep = 0 or t_at >= last_us + {days * DAY} then 0 else "
         + r(
             "greatest(0, (case n_acc when 1 then 0.35 when 2 then 0.75 else 1.0 end)"
-            f" * (1 - greatest(0, (at - last_us) / cast({DAY} as double)) / {days}))"
+            f" * (1 - greatest(0, (t_at - last_us) / cast({DAY} as double)) / {days}))"
         )
         + " end"
     )
@@ -388,19 +388,19 @@ def rep_score(days: int) -> str:
 
 def rep_status(days: int, top: str) -> str:
     return (
-        f"case when n_rep = 0 then 'clear' when at >= last_us + {days * DAY} then 'expired'"
+        f"case when n_rep = 0 then 'clear' when t_at >= last_us + {days * DAY} then 'expired'"
         f" when n_acc >= 3 then '{top}' when n_acc = 2 then 'elevated' else 'monitor' end"
     )
 
 
 REPUTATION = f"""{FEEDBACK},
-rr0 as (select e.event_id, e.tenant_id, e.ts_us as at, count(f.event_id) as n_rep,
+rr0 as (select e.event_id, e.tenant_id, e.ts_us as t_at, count(f.event_id) as n_rep,
  count(distinct f.account_id) as n_acc, max(f.confirmed_us) as last_us
  from ev e left join confirmed f on f.recipient_id = e.recipient_id and f.confirmed_us <= e.ts_us
  where e.recipient_id is not null group by e.event_id, e.tenant_id, e.ts_us),
 rrep as (select event_id, tenant_id, {rep_score(90)} as score, {rep_status(90, 'high')} as status,
  n_rep as confirmed_reports, n_acc as distinct_accounts from rr0),
-tr0 as (select e.event_id, e.tenant_id, e.ts_us as at, count(f.event_id) as n_rep,
+tr0 as (select e.event_id, e.tenant_id, e.ts_us as t_at, count(f.event_id) as n_rep,
  count(distinct f.account_id) as n_acc, max(f.confirmed_us) as last_us
  from ev e left join confirmed f on f.tenant_id = e.tenant_id and f.terminal_token = e.terminal_token
  and f.confirmed_us <= e.ts_us
