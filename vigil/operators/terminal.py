@@ -27,32 +27,33 @@ def attested(events: DataFrame) -> DataFrame:
     ).select("*", assurance["terminal_token"].alias("terminal"))
 
 
-def _sweep(group: pd.DataFrame) -> pd.DataFrame:
-    """Largest per-recipient count at each query of one (terminal, time bucket).
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Largest per-recipient count at each query, streaming over rows sorted by group and time.
 
-    Rows are in time order: changes of a recipient's count, and queries.  ``size_of[c]`` is the number
-    of recipients whose count is c, so the maximum is kept in O(1) per row.
+    Rows are changes of a recipient's count, and queries.  ``size_of[c]`` is the number of recipients
+    whose count is c, so the maximum is kept in O(1) per row; only the current group's counts are held.
     """
-    group = group.sort_values(["at", "is_query"], kind="mergesort")
-    counts: dict[str, int] = {}
-    size_of: dict[int, int] = {}
-    top = 0
-    result = np.zeros(len(group), dtype="int64")
-    rows = zip(group["recipient_id"], group["change"], group["is_query"], group["own"])
-    for place, (recipient, change, is_query, own) in enumerate(rows):
-        if is_query:
-            result[place] = max(top, counts.get(recipient, 0) + 1) if own else top
-            continue
-        old = counts.get(recipient, 0)
-        new = old + int(change)
-        counts[recipient] = new
-        size_of[old] = size_of.get(old, 0) - 1
-        size_of[new] = size_of.get(new, 0) + 1
-        top = max(top, new)
-        while top > 0 and size_of.get(top, 0) <= 0:
-            top -= 1
-    out = group[["tenant_id", "event_id"]].assign(top_recipient_24h=result)
-    return out[group["is_query"].to_numpy()]
+    group, counts, size_of, top = None, {}, {}, 0
+    for batch in batches:
+        result = np.zeros(len(batch), dtype="int64")
+        keys = zip(batch["tenant_id"], batch["terminal"], batch["bucket"])
+        rows = zip(keys, batch["recipient_id"], batch["change"], batch["is_query"], batch["own"])
+        for place, (key, recipient, change, is_query, own) in enumerate(rows):
+            if key != group:
+                group, counts, size_of, top = key, {}, {}, 0
+            if is_query:
+                result[place] = max(top, counts.get(recipient, 0) + 1) if own else top
+                continue
+            old = counts.get(recipient, 0)
+            new = old + int(change)
+            counts[recipient] = new
+            size_of[old] = size_of.get(old, 0) - 1
+            size_of[new] = size_of.get(new, 0) + 1
+            top = max(top, new)
+            while top > 0 and size_of.get(top, 0) <= 0:
+                top -= 1
+        out = batch[["tenant_id", "event_id"]].assign(top_recipient_24h=result)
+        yield out[batch["is_query"].to_numpy()]
 
 
 def top_recipient_counts(agent_events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -103,8 +104,11 @@ def top_recipient_counts(agent_events: DataFrame, settings: Settings = DEFAULTS)
         *keys, "bucket", "at", "recipient_id", F.lit(0).cast("long").alias("change"), "event_id",
         F.lit(True).alias("is_query"), "own",
     )
-    return moves.unionByName(queries).groupBy(*keys, "bucket").applyInPandas(
-        _sweep, "tenant_id string, event_id string, top_recipient_24h long"
+    return (
+        moves.unionByName(queries)
+        .repartition(*keys, "bucket")
+        .sortWithinPartitions(*keys, "bucket", "at", "is_query")
+        .mapInPandas(_sweep, "tenant_id string, event_id string, top_recipient_24h long")
     )
 
 

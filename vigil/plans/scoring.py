@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from vigil import config
 from vigil.config import DEFAULTS, Settings
+from vigil.functions import rules
 from vigil.functions.scalars import clamp, flag, rnd
+from vigil.operators.campaign import with_campaign
+from vigil.operators.exchange import (
+    consortium_apply, event_indicators, keyed_token, sketch_apply, sketch_lookup, sketch_match,
+)
 from vigil.operators.network import recipient_context, recipient_features
 from vigil.operators.reputation import event_reputation
+from vigil.operators.policy import decide, regret_used, safety_envelope
+from vigil.operators.scoring import (
+    anomaly, customer_explanation, decision_confidence, evidence_summary, fuse, reason_assembly,
+)
 from vigil.operators.sender import sender_features
 from vigil.operators.terminal import terminal_context, terminal_features
+from vigil.operators.timeline import cut
 
 EVENT_KEY = ["tenant_id", "event_id"]
 
@@ -19,9 +29,13 @@ EVENT_KEY = ["tenant_id", "event_id"]
 def with_contexts(
     events: DataFrame, confirmed: DataFrame | None, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Events joined with the narrow network, terminal and reputation contexts, once per key."""
-    df = events.join(recipient_context(events, settings), EVENT_KEY, "left").join(
-        terminal_context(events, settings), EVENT_KEY, "left"
+    """Events joined with the narrow network, terminal and reputation contexts, once per key.
+
+    Each context is stored: it is a few columns per event, keeps the final plan small, and a lost
+    executor never replays more than one stage family.
+    """
+    df = events.join(cut(recipient_context(events, settings)), EVENT_KEY, "left").join(
+        cut(terminal_context(events, settings)), EVENT_KEY, "left"
     )
     if confirmed is None:
         empty = {"score": "double", "confirmed_reports": "long", "distinct_accounts": "long",
@@ -31,7 +45,7 @@ def with_contexts(
                 df = df.withColumn(f"{prefix}_{name}", F.lit(None).cast(kind))
         return df
     by_recipient, by_terminal = event_reputation(events, confirmed, settings)
-    return df.join(by_recipient, EVENT_KEY, "left").join(by_terminal, EVENT_KEY, "left")
+    return df.join(cut(by_recipient), EVENT_KEY, "left").join(cut(by_terminal), EVENT_KEY, "left")
 
 
 def feature_table(
@@ -58,3 +72,71 @@ def feature_table(
     df = df.select("*", *[rnd(expr).alias(name) for name, expr in extra.items()])
     keep = [c for c in df.columns if c not in config.FEATURES and c not in config.AGENT_FEATURES]
     return df.select(*keep, *config.FEATURES, *config.AGENT_FEATURES)
+
+
+def score_features(
+    features: DataFrame,
+    consortium: DataFrame | None = None,
+    sketches: DataFrame | None = None,
+    prior_decisions: DataFrame | None = None,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Decisions from a stored feature table.
+
+    ``features`` is read several times, so store it first (``timeline.cut`` or a table).  A column
+    ``model_score`` and a column ``resilience_mode`` are used when present.  ``prior_decisions`` is
+    the recorded decision log that the intervention budget counts.
+    """
+    df = features
+    if "model_score" not in df.columns:
+        df = df.withColumn("model_score", F.lit(None).cast("double"))
+    if "resilience_mode" not in df.columns:
+        df = df.withColumn("resilience_mode", F.lit("online"))
+    df = with_campaign(df, settings)
+    df = fuse(anomaly(df)).withColumn(
+        "fused_score",
+        F.when(F.col("campaign_risk") >= 0.62, F.greatest("fused_score", "campaign_risk"))
+        .otherwise(F.col("fused_score")),
+    )
+    if consortium is None:
+        df = df.withColumn("consortium_score", F.lit(0.0))
+    else:
+        df = (
+            df.withColumn("recipient_token", keyed_token(F.col("recipient_id"), settings.recipient_key))
+            .join(consortium.select("recipient_token", "consortium_score"), "recipient_token", "left")
+            .drop("recipient_token")
+            .withColumn("consortium_score", F.coalesce("consortium_score", F.lit(0.0)))
+        )
+    df = df.withColumn(
+        "consortium_recipient_risk",
+        F.when(F.col("consortium_score") >= 0.70, F.col("consortium_score")).otherwise(F.lit(0.0)),
+    ).withColumn("pre_sketch_score", consortium_apply(F.col("fused_score"), F.col("consortium_score")))
+    if sketches is None:
+        for name, kind in {"sketch_best": "double", "sketch_institutions": "long",
+                           "sketch_confidence": "double", "sketch_active_reports": "long",
+                           "sketch_status": "string", "matches": "long",
+                           "matched_indicators": "string"}.items():
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    else:
+        indicators = event_indicators(with_campaign(features, settings))
+        matches = sketch_match(sketch_lookup(indicators, sketches, settings))
+        df = df.join(matches, "event_id", "left")
+    df = decision_confidence(sketch_apply(df))
+    outage = F.col("resilience_mode") != "online"
+    if "confidence_multiplier" in df.columns:
+        df = df.withColumn(
+            "confidence_score",
+            F.when(outage, rnd(F.col("confidence_score") * F.col("confidence_multiplier")))
+            .otherwise(F.col("confidence_score")),
+        ).withColumn("confidence_level", F.expr(rules.confidence_level("confidence_score")))
+    if prior_decisions is None:
+        df = df.withColumn("regret_used", F.lit(0).cast("long"))
+    else:
+        used = regret_used(
+            features.select("tenant_id", "account_id", "ts_us", "event_id"), prior_decisions,
+            settings=settings,
+        ).select("tenant_id", "event_id", "regret_used")
+        df = df.join(used, EVENT_KEY)
+    df = decide(df.withColumn("risk_level", F.expr(rules.risk_level("fused_score"))))
+    df = customer_explanation(reason_assembly(safety_envelope(df)))
+    return evidence_summary(df)

@@ -239,7 +239,10 @@ EVIDENCE_BY_KEY = (
     " when 3 then 'confirmed_terminal_compromise' else 'analyst_high_confidence' end"
 )
 REPORT = {
-    "report_id": "'report_' || cast(o_orderkey as string)",
+    "report_id": (
+        "'report_' || cast((case when o_orderkey % 50 = 49 then o_orderkey - 1 else o_orderkey end)"
+        " as string)"
+    ),
     "indicator_type": (
         "case o_orderkey % 3 when 0 then 'recipient' when 1 then 'agent_terminal'"
         " else 'campaign' end"
@@ -247,25 +250,88 @@ REPORT = {
     "indicator_value": (
         "case o_orderkey % 3 when 0 then ' ACCT_' || cast(o_custkey % 50 as string)"
         " when 1 then 'terminal_' || cast(o_custkey % 25 as string)"
-        " else 'Sim_change|cashout|recipient_change| cashout' end"
+        " else 'sim_change|recipient_change| cashout |cashout' end"
     ),
     "institution_id": "'Bank-' || substr(o_orderpriority, 1, 1)",
     "confidence": "cast(0.6 as double) + (o_orderkey % 40) / cast(100 as double)",
-    "evidence_class": EVIDENCE_BY_KEY,
+    "evidence_class": f"case when o_orderkey % 101 = 0 then 'rumour' else {EVIDENCE_BY_KEY} end",
     "ttl_hours": "cast(24 + 24 * (o_orderkey % 29) as int)",
-    "nonce": "'nonce_' || cast(o_orderkey - o_orderkey % 500 % 7 as string)",
-    "revoked": "o_orderstatus = 'F' and o_orderkey % 4 = 0",
+    "nonce": (
+        "'nonce_' || cast((case when o_orderkey % 40 = 39 then o_orderkey - 1 else o_orderkey end)"
+        " as string)"
+    ),
+    "observed_us": "1704067200000000 + (o_orderkey % 720) * 3600000000",
+    "delay_us": "(o_orderkey % 20) * 60000000 - 60000000",
+    "forged": "o_orderkey % 97 = 0",
+    "resent": "o_orderkey % 30 = 0",
+    "withdrawn": "o_orderstatus = 'F' and o_orderkey % 4 = 0",
 }
 
 
 def sketch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared-indicator reports from orders, moved onto the event calendar (January 2024)."""
-    return table(spark, sf_dir, "orders").select(
-        *[F.expr(text).alias(name) for name, text in REPORT.items()],
-        (
-            F.lit(1_704_067_200_000_000)
-            + (F.col("o_orderkey") % 720) * F.lit(3_600_000_000)
-        ).alias("observed_us"),
+    """Shared-indicator reports from orders, on the event calendar (January 2024).
+
+    Some are received late, reuse a nonce or a report id, and some are sent twice.
+    """
+    reports = table(spark, sf_dir, "orders").select(
+        *[F.expr(text).alias(name) for name, text in REPORT.items()]
+    ).withColumn("received_us", F.col("observed_us") + F.col("delay_us"))
+    again = reports.filter("resent").withColumn("received_us", F.col("received_us") + 5_000_000)
+    return reports.unionByName(again).drop("delay_us", "resent")
+
+
+HEARTBEAT = {
+    "heartbeat_id": "event_id",
+    "institution_id": "'Bank-' || cast(1 + k % 3 as string)",
+    "nonce": "'beat_' || cast((case when k % 19 = 3 then ts_us - ts_us % 86400000000 else ts_us end) as string)",
+    "dep_core_banking": "k % 8 <> 7",
+    "dep_telco_gateway": "k % 5 <> 1",
+    "dep_consortium": "k % 7 <> 2",
+    "dep_recipient_graph": "k % 11 <> 5",
+    "dep_agent_integrity": "k % 6 <> 3",
+    "dep_model_runtime": "k % 9 <> 4",
+    "received_us": "ts_us + (case when k % 13 = 0 then 900000000 else 1000000 end)",
+    "forged": "k % 29 = 1",
+}
+
+
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependency heartbeats from the deposit events of each tenant."""
+    return flat_events(spark, sf_dir).filter("event_type = 'deposit'").select(
+        "tenant_id", F.col("ts_us").alias("at_us"),
+        *[F.expr(text).alias(name) for name, text in HEARTBEAT.items()],
+    )
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished reconciliations, taken from the withdrawal events."""
+    return flat_events(spark, sf_dir).filter("event_type = 'withdrawal'").select(
+        "tenant_id", F.col("ts_us").alias("at_us"))
+
+
+def edge_capsules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issued edge capsules, taken from the failed logins."""
+    return flat_events(spark, sf_dir).filter("event_type = 'failed_login'").select(
+        "tenant_id", F.col("ts_us").alias("issued_us"))
+
+
+LIFECYCLE_STATE = (
+    "case l_linenumber when 1 then 'authorized' when 2 then 'held' when 3 then 'released'"
+    " when 4 then 'settled' when 5 then 'authorized' when 6 then 'held' else 'cancelled' end"
+)
+
+
+def lifecycle_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifecycle requests from order lines; equal lines repeat their idempotency key."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.expr("'order_' || cast(l_orderkey as string)").alias("event_id"),
+        F.expr(LIFECYCLE_STATE).alias("to_state"),
+        micros("l_shipdate").alias("at_us"),
+        F.expr(
+            "cast(l_linenumber as bigint) * 1000000000000 + l_partkey * 100000 + l_suppkey"
+        ).alias("seq"),
+        F.expr("cast(l_orderkey as string) || '-' || cast(l_linenumber as string)")
+        .alias("idempotency_key"),
     )
 
 
