@@ -449,3 +449,176 @@ FEATURES = (
     " left join net on net.event_id = e.event_id left join term on term.event_id = e.event_id"
     " left join rrep on rrep.event_id = e.event_id left join trep on trep.event_id = e.event_id)"
 )
+
+# --------------------------------------------------------------------------- shared exchange
+REPORTS = (
+    "rep0 as (select *, 0 as copy from orders union all select *, 1 as copy from orders where "
+    + A.REPORT["resent"] + "),\n"
+    "rep1 as (select " + ", ".join(f"{v} as {n}" for n, v in A.REPORT.items())
+    + ", copy, o_orderkey from rep0),\n"
+    "rep as (select * exclude (delay_us), observed_us + delay_us + copy * 5000000 as received_us,"
+    " lower(trim(institution_id)) as inst, lower(trim(indicator_type)) as kind,"
+    " case when indicator_type = 'campaign' then array_to_string(list_sort(list_distinct(list_filter("
+    "list_transform(string_split(lower(trim(indicator_value)), '|'), lambda x: trim(x)), lambda x: x <> ''))), '|')"
+    " else lower(trim(indicator_value)) end as clean,"
+    f" 'e' || lpad(lower(printf('%x', cast(floor(observed_us / {7 * DAY}) as bigint))), 8, '0') as epoch from rep1)"
+)
+# Signatures are forged on marked rows only, so validity needs no HMAC here.  A resend has the same
+# content and signature as its first copy.
+ADMISSION = (
+    REPORTS + ",\nadm0 as (select *, (received_us - observed_us) / cast(1000000 as double) as age from rep),\n"
+    "adm1 as (select *, case when age > 900 or age < -60 then 'stale_or_future'"
+    " when inst not in ('bank-1','bank-2','bank-3','bank-4') then 'institution_not_enrolled'"
+    " when confidence < 0.6 or confidence > 1.0 then 'confidence_out_of_range'"
+    f" when evidence_class not in ({_list(config.EVIDENCE_WEIGHTS)}) then 'evidence_class_not_allowed'"
+    " when length(clean) < 3 then 'indicator_too_short' when forged then 'signature_invalid' end as basic from adm0),\n"
+    "adm2 as (select a.*, (select count(*) from adm1 b where b.basic is null and b.inst = a.inst"
+    f" and b.received_us < a.received_us and b.received_us >= a.received_us - {H}) as recent from adm1 a),\n"
+    "fr as (select report_id, min(received_us) as t, arg_min(o_orderkey, (received_us, o_orderkey)) as owner from adm1"
+    " where basic is null group by report_id),\n"
+    "fn as (select nonce, arg_min(report_id, (received_us, report_id)) as owner from adm1 where basic is null group by nonce),\n"
+    "adm as (select a.*, (basic is null and (a.received_us > fr.t or a.o_orderkey <> fr.owner)) as again,"
+    " fr.owner as first_key, fn.owner as nonce_owner from adm2 a left join fr on fr.report_id = a.report_id"
+    " left join fn on fn.nonce = a.nonce),\n"
+    "admitted as (select *, case when basic is not null then basic when again and o_orderkey <> first_key then"
+    " 'conflicting_content' when again then null when recent >= 3 then 'rate_limit_exceeded'"
+    " when nonce_owner <> report_id then 'nonce_reused' end as rejection,"
+    " coalesce(again and o_orderkey = first_key, false) as replay from adm)"
+)
+_WEIGHT = "case evidence_class " + " ".join(
+    f"when '{n}' then {v}" for n, v in config.EVIDENCE_WEIGHTS.items()) + " else 0 end"
+LATEST = (
+    ADMISSION + ",\nlatest0 as (select *, row_number() over (partition by kind, clean, epoch, inst order by"
+    " received_us desc, report_id desc) as rn from admitted where rejection is null and not replay),\n"
+    "latest as (select kind, clean, epoch, inst, report_id, confidence, evidence_class, observed_us,"
+    f" least(observed_us + cast(ttl_hours as bigint) * {H}, received_us + {30 * DAY}) as expires_us, received_us as created_us,"
+    " case when withdrawn then 'revoked' else 'active' end as status from latest0 where rn = 1)"
+)
+
+
+def weighted(at: str) -> str:
+    return (
+        f"(confidence * {_WEIGHT} * greatest(0.25, 1.0 - greatest(0, ({at} - observed_us) / cast({H} as double))"
+        f" / greatest(1.0, (expires_us - observed_us) / cast({H} as double))))"
+    )
+
+
+SCORED = (
+    r("least(0.92, case when n = 1 then 0.30 + 0.08 * q when n = 2 then 0.58 + 0.16 * q"
+      " else 0.72 + least(0.10, 0.025 * (n - 3)) + 0.14 * q end)") + " as score, "
+    + r("least(1.0, q)") + " as confidence, case when n = 1 then 'observe_only' when n = 2 then 'shared_watch'"
+    " else 'high_confidence' end as status"
+)
+CONSORTIUM = (
+    "cr as (select lower(trim('acct_' || cast(o_custkey % 50 as varchar))) as rid, lower('Bank-' || substr(o_orderpriority, 1, 1)) as iid,"
+    f" arg_max({A.REPORT['confidence']}, (o_orderdate, o_orderkey)) as confidence from orders group by 1, 2),\n"
+    "cons as (select rid, count(*) as independent_institutions, case when count(*) < 2 then 0 else "
+    + r("least(0.92, sum(confidence) / count(*))") + " end as consortium_score from cr group by rid)"
+)
+
+# ------------------------------------------------------------------------------ decisions
+from vigil.functions import rules as R  # noqa: E402
+
+STAGED = (
+    f"{FEATURES},\nst0 as (select *, concat_ws('|', {', '.join(R.campaign_stage_items())}) as stages_text,"
+    + " + ".join(f"(case when {c} then 1 else 0 end)" for _, c in config.CAMPAIGN_STAGES) + " as stage_n,"
+    + " + ".join(f"(case when {c} then 1 else 0 end)" for n, c in config.CAMPAIGN_STAGES
+                 if n in config.MATERIAL_STAGES) + " as material_n from feat),\n"
+    "st as (select * exclude (stages_text, stage_n), case when stages_text = '' then 'ordinary' else stages_text end as stages_text,"
+    " greatest(stage_n, 1) as stage_n, substr(sha256(case when stages_text = '' then 'ordinary' else stages_text end), 1, 20)"
+    " as campaign_signature from st0),\n"
+    "camp as (select e.event_id, count(distinct h.account_id) as campaign_accounts from st e join st h on"
+    " h.tenant_id = e.tenant_id and h.campaign_signature = e.campaign_signature and h.ts_us <= e.ts_us"
+    f" and h.ts_us >= e.ts_us - {DAY} group by e.event_id),\n"
+    "cs as (select st.*, campaign_accounts, (stage_n >= 3 and material_n > 0) as campaign_is_eligible,"
+    " case when stage_n >= 3 and material_n > 0 then "
+    + r("least(0.92, 0.28 + campaign_accounts * 0.13 + stage_n * 0.07)")
+    + " else 0 end as campaign_risk from st join camp on camp.event_id = st.event_id)"
+)
+MODEL_STAND_IN = (
+    "case when channel <> 'ussd' then "
+    + r("0.5 * balance_drain_ratio + 0.3 * new_device + 0.2 * new_sim") + " end"
+)
+FUSED = (
+    f"{STAGED},\nsc as (select *, {R.anomaly_score()} as anomaly_score, {MODEL_STAND_IN} as model_score from cs),\n"
+    f"fz0 as (select *, cast({R.model_weight()} as double) as model_weight, cast({R.blended()} as double) as blend,"
+    f" {R.security_floor()} as security_floor from sc),\n"
+    f"fz as (select *, {r(clamp('blend'))} as blended_score, {r(clamp('greatest(blend, security_floor)'))} as fused_0,"
+    " case when security_floor > blend then 'security_floor' else 'blend' end as driver from fz0)"
+)
+_LOCAL = (
+    "(pre_sketch_score >= 0.30 or coalesce(rr_score, 0) >= 0.35 or coalesce(tr_score, 0) >= 0.35 or campaign_risk >= 0.62"
+    " or (new_recipient > 0 and balance_drain_ratio >= 0.45))"
+)
+_EXCHANGE = "least(0.92, sketch_best + (case when matches >= 2 then 0.04 else 0 end))"
+LOOKUP = (
+    "ind as (select event_id, ts_us as at_us, 'recipient' as kind, lower(trim(recipient_id)) as clean from fz where recipient_id is not null"
+    " union all select event_id, ts_us, 'agent_terminal', lower(trim(terminal_token)) from fz where terminal_attested"
+    " union all select event_id, ts_us, 'campaign', stages_text from fz where campaign_risk > 0),\n"
+    "lk0 as (select i.event_id, i.kind, l.epoch, count(distinct l.inst) as n, count(*) as active_reports,"
+    f" sum({weighted('i.at_us')}) / count(*) as q, min(expires_us) as expires_us from ind i join latest l on l.kind = i.kind"
+    " and l.clean = i.clean and l.status = 'active' and l.observed_us <= i.at_us and l.expires_us > i.at_us"
+    f" and floor(l.observed_us / {7 * DAY}) >= floor((i.at_us - {35 * DAY}) / {7 * DAY})"
+    " group by i.event_id, i.kind, l.epoch),\n"
+    f"lk1 as (select event_id, kind, n, active_reports, expires_us, {SCORED} from lk0),\n"
+    "lk as (select *, row_number() over (partition by event_id, kind order by score desc, n desc, confidence desc,"
+    " active_reports desc, status desc, expires_us desc) as rn from lk1),\n"
+    "best as (select * from lk where rn = 1),\n"
+    "mt0 as (select *, row_number() over (partition by event_id order by score desc, n desc, case kind when 'recipient' then 0"
+    " when 'agent_terminal' then 1 else 2 end) as r2, count(*) over (partition by event_id) as matches from best),\n"
+    "mt as (select event_id, score as sketch_best, n as sketch_institutions, confidence as sketch_confidence,"
+    " active_reports as sketch_active_reports, status as sketch_status, matches from mt0 where r2 = 1)"
+)
+SKETCHED = (
+    f"{FUSED},\n{CONSORTIUM},\n{LATEST},\n{LOOKUP},\n"
+    "pre0 as (select fz.*, coalesce(cons.consortium_score, 0) as consortium_score,"
+    " case when campaign_risk >= 0.62 then greatest(fused_0, campaign_risk) else fused_0 end as fused_1,"
+    " rrep.score as rr_score, trep.score as tr_score from fz"
+    " left join cons on cons.rid = lower(trim(fz.recipient_id)) left join rrep on rrep.event_id = fz.event_id"
+    " left join trep on trep.event_id = fz.event_id),\n"
+    "pre as (select *, case when consortium_score >= 0.70 then consortium_score else 0 end as consortium_recipient_risk,"
+    " case when consortium_score >= 0.70 then greatest(fused_1, least(0.96, consortium_score + 0.04)) else fused_1 end"
+    " as pre_sketch_score from pre0),\n"
+    f"sk0 as (select pre.*, mt.* exclude (event_id), {_LOCAL} as sketch_local from pre left join mt on mt.event_id = pre.event_id),\n"
+    "sk as (select *, case when sketch_best is null then pre_sketch_score else "
+    + r(f"greatest(pre_sketch_score, least(case when sketch_institutions >= 2 and sketch_local then 0.82 else 0.42 end, {_EXCHANGE}))")
+    + " end as fused_score, case when sketch_best is null then 0 else " + r(_EXCHANGE) + " end as fraud_sketch_risk,"
+    " case when sketch_local then cast(1 as double) else cast(0 as double) end as fraud_sketch_local_corroboration,"
+    f" {r('pre_sketch_score')} as fraud_sketch_pre_exchange_score,"
+    " case when sketch_best is not null and sketch_institutions >= 2 and sketch_local then 'delay' else 'monitor' end as sketch_ceiling from sk0)"
+)
+CONFIDENT = (
+    f"{SKETCHED},\ndc0 as (select *, {R.data_coverage()} as data_coverage, cast({R.scorer_agreement()} as double) as scorer_agreement from sk),\n"
+    f"dc1 as (select *, {R.confidence_score()} as confidence_score from dc0),\n"
+    f"dc as (select *, {R.confidence_level('confidence_score')} as confidence_level, {R.risk_level('fused_score')} as risk_level from dc1)"
+)
+
+
+def _policy(source: str, prefix: str) -> str:
+    costs = ", ".join(
+        f"{R.cost(config.RESIDUAL_LOSS[a], config.BASE_FRICTION[a])} as cost_{i}"
+        for i, a in enumerate(config.RESIDUAL_LOSS))
+    pause = R.cost(config.SAFE_PAUSE_RESIDUAL, config.SAFE_PAUSE_FRICTION)
+    return (
+        f"{prefix}0 as (select *, {costs}, {R.CRITICAL} as critical_signal, {pause} as cost_pause from {source}),\n"
+        f"{prefix}1 as (select *, {R.banded_action()} as action_0 from {prefix}0),\n"
+        f"{prefix}2 as (select *, {R.ceiling_action()} as action_1 from {prefix}1),\n"
+        f"{prefix}3 as (select *, {R.confident_action()} as action_2 from {prefix}2),\n"
+        f"{prefix} as (select *, {R.budget_action()} as action, {R.override_code()} as override_code from {prefix}3)"
+    )
+
+
+_INTRUSIVE = _list(config.INTRUSIVE_ACTIONS)
+DECIDED = (
+    f"{CONFIDENT},\nfree as (select *, 0 as regret_used from dc),\n{_policy('free', 'p')},\n"
+    f"taken as (select tenant_id, account_id, ts_us from p where action in ({_INTRUSIVE})),\n"
+    "used as (select e.event_id, count(t.ts_us) as regret_used from dc e left join taken t on t.tenant_id = e.tenant_id"
+    f" and t.account_id = e.account_id and t.ts_us < e.ts_us and t.ts_us >= e.ts_us - {30 * DAY} group by e.event_id),\n"
+    "budget as (select dc.*, used.regret_used from dc join used on used.event_id = dc.event_id),\n"
+    f"{_policy('budget', 'd')},\n"
+    f"dec as (select *, {R.hold_seconds('action')} as hold_seconds, action in ({_INTRUSIVE}) as intrusive from d)"
+)
+
+
+def with_cte(ctes: str, select: str) -> str:
+    return f"with recursive {ctes}\n{select}"
