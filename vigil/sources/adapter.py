@@ -257,11 +257,11 @@ REPORT = {
     "evidence_class": f"case when o_orderkey % 101 = 0 then 'rumour' else {EVIDENCE_BY_KEY} end",
     "ttl_hours": "cast(24 + 24 * (o_orderkey % 29) as int)",
     "nonce": (
-        "'nonce_' || cast((case when o_orderkey % 40 = 39 then o_orderkey - 1 else o_orderkey end)"
+        "'nonce_' || cast((case when o_orderkey % 40 = 33 then o_orderkey - 1 else o_orderkey end)"
         " as string)"
     ),
     "observed_us": "1704067200000000 + (o_orderkey % 720) * 3600000000",
-    "delay_us": "(o_orderkey % 20) * 60000000 - 60000000",
+    "delay_us": "(o_orderkey % 19) * 60000000 - 60000000",
     "forged": "o_orderkey % 97 = 0",
     "resent": "o_orderkey % 30 = 0",
     "withdrawn": "o_orderstatus = 'F' and o_orderkey % 4 = 0",
