@@ -237,7 +237,7 @@ def campaign_stage_items() -> list[str]:
 def review_priority(reports: str) -> str:
     return rounded(
         "least(1.0, 0.55 * fused_score + 0.2 * least(amount / 500000.0, 1.0)"
-        f" + 0.15 * (1 - confidence_score) + 0.1 * least({reports}, 3) / 3.0)"
+        f" + 0.15 * (1 - confidence_score) + 0.1 * cast(least({reports}, 3) as double) / 3.0)"
     )
 
 

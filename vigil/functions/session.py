@@ -13,6 +13,7 @@ def local_session(cpus: str = "8", name: str = "vigil") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
         # Small local tables would otherwise be coalesced into one serial partition.

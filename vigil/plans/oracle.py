@@ -43,7 +43,7 @@ EV = (
     "raw as (select event_id, ts, user_id, event_type as raw_type, value,"
     " cast(json_extract_string(props, '$.k') as integer) as k from events),\n"
     "kinds as (select *, " + ", ".join(f"{v} as {n}" for n, v in A.KIND.items()) + " from raw),\n"
-    "ev as (select " + ", ".join(f"{v} as {n}" for n, v in A.EVENT.items())
+    "ev as materialized (select " + ", ".join(f"{v} as {n}" for n, v in A.EVENT.items())
     + ", ts as occurred_at, epoch_us(ts) as ts_us, k from kinds)"
 )
 ACCT = (
@@ -101,9 +101,10 @@ def _hazard() -> str:
         )
         left.append(f"coalesce(max({limit} - {_age()}) filter (where {inside}), 0)")
         names.append(f"case when count(*) filter (where {inside}) > 0 then '{name}' end")
+    order = sorted(range(len(names)), key=lambda i: config.PRECURSORS[i][0])
     return (
         f"{clamp(' + '.join(parts))} as hazard, {r('greatest(' + ', '.join(left) + ')', 2)} as hours_left,"
-        f" concat_ws('|', {', '.join(sorted(names, key=lambda n: n.split(chr(39))[1].encode()))}) as precursors"
+        f" concat_ws('|', {', '.join(names[i] for i in order)}) as precursors"
     )
 
 
@@ -440,7 +441,7 @@ CONTEXT_FEATURES = {
 }
 FEATURES = (
     f"{EV},\n{ACCT},\n{SENDER},\n{NETWORK},\n{TERMINAL},\n{REPUTATION},\n"
-    "feat as (select e.*, sf.* exclude (event_id), "
+    "feat as materialized (select e.*, sf.* exclude (event_id), "
     + flag("coalesce(a.shared_device_allowed, false)") + " as shared_device_allowed,"
     " coalesce(a.regret_limit_30d, 3) as regret_limit_30d,"
     " coalesce(rrep.confirmed_reports, 0) as rec_reports, coalesce(trep.confirmed_reports, 0) as term_reports, "
@@ -490,7 +491,7 @@ _WEIGHT = "case evidence_class " + " ".join(
 LATEST = (
     ADMISSION + ",\nlatest0 as (select *, row_number() over (partition by kind, clean, epoch, inst order by"
     " received_us desc, report_id desc) as rn from admitted where rejection is null and not replay),\n"
-    "latest as (select kind, clean, epoch, inst, report_id, confidence, evidence_class, observed_us,"
+    "latest as materialized (select kind, clean, epoch, inst, report_id, confidence, evidence_class, observed_us,"
     f" least(observed_us + cast(ttl_hours as bigint) * {H}, received_us + {30 * DAY}) as expires_us, received_us as created_us,"
     " case when withdrawn then 'revoked' else 'active' end as status from latest0 where rn = 1)"
 )
@@ -530,7 +531,7 @@ STAGED = (
     "camp as (select e.event_id, count(distinct h.account_id) as campaign_accounts from st e join st h on"
     " h.tenant_id = e.tenant_id and h.campaign_signature = e.campaign_signature and h.ts_us <= e.ts_us"
     f" and h.ts_us >= e.ts_us - {DAY} group by e.event_id),\n"
-    "cs as (select st.*, campaign_accounts, (stage_n >= 3 and material_n > 0) as campaign_is_eligible,"
+    "cs as materialized (select st.*, campaign_accounts, (stage_n >= 3 and material_n > 0) as campaign_is_eligible,"
     " case when stage_n >= 3 and material_n > 0 then "
     + r("least(0.92, 0.28 + campaign_accounts * 0.13 + stage_n * 0.07)")
     + " else 0 end as campaign_risk from st join camp on camp.event_id = st.event_id)"
@@ -543,7 +544,7 @@ FUSED = (
     f"{STAGED},\nsc as (select *, {R.anomaly_score()} as anomaly_score, {MODEL_STAND_IN} as model_score from cs),\n"
     f"fz0 as (select *, cast({R.model_weight()} as double) as model_weight, cast({R.blended()} as double) as blend,"
     f" {R.security_floor()} as security_floor from sc),\n"
-    f"fz as (select *, {r(clamp('blend'))} as blended_score, {r(clamp('greatest(blend, security_floor)'))} as fused_0,"
+    f"fz as materialized (select *, {r(clamp('blend'))} as blended_score, {r(clamp('greatest(blend, security_floor)'))} as fused_0,"
     " case when security_floor > blend then 'security_floor' else 'blend' end as driver from fz0)"
 )
 _LOCAL = (
@@ -580,7 +581,7 @@ SKETCHED = (
     " case when consortium_score >= 0.70 then greatest(fused_1, least(0.96, consortium_score + 0.04)) else fused_1 end"
     " as pre_sketch_score from pre0),\n"
     f"sk0 as (select pre.*, mt.* exclude (event_id), {_LOCAL} as sketch_local from pre left join mt on mt.event_id = pre.event_id),\n"
-    "sk as (select *, case when sketch_best is null then pre_sketch_score else "
+    "sk as materialized (select *, case when sketch_best is null then pre_sketch_score else "
     + r(f"greatest(pre_sketch_score, least(case when sketch_institutions >= 2 and sketch_local then 0.82 else 0.42 end, {_EXCHANGE}))")
     + " end as fused_score, case when sketch_best is null then 0 else " + r(_EXCHANGE) + " end as fraud_sketch_risk,"
     " case when sketch_local then cast(1 as double) else cast(0 as double) end as fraud_sketch_local_corroboration,"
@@ -590,7 +591,7 @@ SKETCHED = (
 CONFIDENT = (
     f"{SKETCHED},\ndc0 as (select *, {R.data_coverage()} as data_coverage, cast({R.scorer_agreement()} as double) as scorer_agreement from sk),\n"
     f"dc1 as (select *, {R.confidence_score()} as confidence_score from dc0),\n"
-    f"dc as (select *, {R.confidence_level('confidence_score')} as confidence_level, {R.risk_level('fused_score')} as risk_level from dc1)"
+    f"dc as materialized (select *, {R.confidence_level('confidence_score')} as confidence_level, {R.risk_level('fused_score')} as risk_level from dc1)"
 )
 
 
@@ -616,7 +617,7 @@ DECIDED = (
     f" and t.account_id = e.account_id and t.ts_us < e.ts_us and t.ts_us >= e.ts_us - {30 * DAY} group by e.event_id),\n"
     "budget as (select dc.*, used.regret_used from dc join used on used.event_id = dc.event_id),\n"
     f"{_policy('budget', 'd')},\n"
-    f"dec as (select *, {R.hold_seconds('action')} as hold_seconds, action in ({_INTRUSIVE}) as intrusive from d)"
+    f"dec as materialized (select *, {R.hold_seconds('action')} as hold_seconds, action in ({_INTRUSIVE}) as intrusive from d)"
 )
 
 

@@ -1395,7 +1395,7 @@ def _(i):
 
 # --------------------------------------------------------------------------------- evaluation
 _LAB = O.DECIDED + (
-    ",\nlab as (select d.*, " + adapter.EVENT["is_takeover"] + " as label, " + adapter.EVENT["scenario"]
+    ",\nlab as materialized (select d.*, " + adapter.EVENT["is_takeover"] + " as label, " + adapter.EVENT["scenario"]
     .replace("raw_type", "event_type") + " as scenario2, fused_score as score from dec d)"
 )
 _GEN = (
