@@ -66,10 +66,16 @@ def campaign_score() -> Column:
     ).otherwise(F.lit(0.0))
 
 
-def with_campaign(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds stages, signature, accounts, eligibility and campaign_risk to a (stored) feature table."""
+def with_campaign(
+    df: DataFrame, settings: Settings = DEFAULTS, accounts: DataFrame | None = None
+) -> DataFrame:
+    """Adds stages, signature, accounts, eligibility and campaign_risk to a (stored) feature table.
+
+    ``accounts`` is a stored result of ``campaign_accounts``, when one exists.
+    """
     staged = campaign_stages(df)
-    counted = staged.join(campaign_accounts(staged, settings), ["tenant_id", "event_id"])
+    counts = campaign_accounts(staged, settings) if accounts is None else accounts
+    counted = staged.join(counts, ["tenant_id", "event_id"])
     return counted.withColumn("campaign_is_eligible", campaign_eligible()).withColumn(
         "campaign_risk", campaign_score()
     )

@@ -113,14 +113,16 @@ def _reduce_array(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def account_history(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def account_history(
+    events: DataFrame, settings: Settings = DEFAULTS, counted: DataFrame | None = None
+) -> DataFrame:
     """Events with the raw history quantities (prefix ``h_``) that the features read."""
     lookback = settings.lookback_days * DAY_US
     cap = settings.max_history_events
     base = slice_history(
         events, ["tenant_id", "account_id"], "ts_us",
         slice_rows=max(settings.slice_rows, cap + 1), halo_rows=cap,
-        bucket_us=settings.bucket_hours * HOUR_US,
+        bucket_us=settings.bucket_hours * HOUR_US, counted=counted,
     )
     order = Window.partitionBy(*KEYS).orderBy("ts_us", "event_id")
     base = base.select(
@@ -540,10 +542,14 @@ def risk_window_state(score: Column) -> Column:
 
 
 def sender_features(
-    events: DataFrame, accounts: DataFrame | None = None, settings: Settings = DEFAULTS
+    events: DataFrame,
+    accounts: DataFrame | None = None,
+    settings: Settings = DEFAULTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Events plus all sender features (6 decimals), risk-window state and precursors."""
-    df = _reduce(account_history(events, settings)).withColumn("history_confidence", _confidence())
+    df = _reduce(account_history(events, settings, counted)).withColumn(
+        "history_confidence", _confidence())
     computed = {**stateless_features(), **history_features()}
     df = df.select(
         *events.columns, "history_confidence", "active_precursors",

@@ -154,22 +154,25 @@ def slice_history(
     slice_rows: int,
     halo_rows: int,
     bucket_us: int = HOUR_US,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``_slice`` and ``_home``; long keys are cut into slices with a halo of earlier rows.
 
     A column-pruned pre-pass counts rows per key.  Only keys above ``slice_rows`` are cut, along
     time-bucket borders; each slice also receives the buckets that hold the ``halo_rows`` rows
     before it (``_home`` false).  Without such keys the input is returned with one slice and no
-    join or shuffle is added.
+    join or shuffle is added.  ``counted`` holds the same keys and times as ``df``, when ``df`` is
+    dearer to compute than its source.
     """
     assert halo_rows < slice_rows
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
+    source = df if counted is None else counted
+    hot = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
     hot = cut(hot.select(*keys))
     if hot.isEmpty():
         return df.withColumn("_slice", F.lit(0).cast("long")).withColumn("_home", F.lit(True))
 
     counts = (
-        df.select(*keys, _bucket(at, bucket_us).alias("_b"))
+        source.select(*keys, _bucket(at, bucket_us).alias("_b"))
         .join(hot, keys, "left_semi")
         .groupBy(*keys, "_b")
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -12,7 +12,7 @@ from vigil.config import Settings
 from vigil.functions.scalars import rnd
 from vigil.operators import exchange, integrity, reputation, resilience
 from vigil.operators.timeline import cut
-from vigil.plans.scoring import feature_table, score_features
+from vigil.plans.scoring import decide_events, feature_table, scored_events
 from vigil.sources import adapter
 
 SETTINGS = Settings(
@@ -40,7 +40,9 @@ class Inputs:
 
     @cached_property
     def events(self) -> DataFrame:
-        return adapter.read_events(self.spark, self.sf_dir)
+        """The typed event table, stored once.  Each test table is one small file, hence the spread."""
+        typed = adapter.read_events(self.spark, self.sf_dir)
+        return cut(typed.repartition(self.spark.sparkContext.defaultParallelism))
 
     @cached_property
     def flat(self) -> DataFrame:
@@ -99,17 +101,21 @@ class Inputs:
         reports = adapter.consortium_reports(self.spark, self.sf_dir)
         return exchange.consortium_scores(reports, self.settings)
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        return cut(scored_events(with_stand_in_model(self.features), self.consortium, self.sketches,
+                                 self.settings))
+
     @cached_property
     def unbudgeted(self) -> DataFrame:
         """Decisions without the intervention budget: the recorded log the budget counts."""
-        return cut(score_features(with_stand_in_model(self.features), self.consortium, self.sketches,
-                                  settings=self.settings))
+        return cut(decide_events(self.scored, settings=self.settings).select(
+            "tenant_id", "event_id", "account_id", "ts_us", "fused_score", "amount", "action"))
 
     @cached_property
     def decisions(self) -> DataFrame:
         log = self.unbudgeted.select("tenant_id", "account_id", "ts_us", "action")
-        return cut(score_features(with_stand_in_model(self.features), self.consortium, self.sketches, log,
-                                  self.settings))
+        return cut(decide_events(self.scored, log, self.settings))
 
     @cached_property
     def labelled_decisions(self) -> DataFrame:

@@ -9,7 +9,7 @@ from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions import rules
 from vigil.functions.scalars import clamp, flag, rnd
-from vigil.operators.campaign import with_campaign
+from vigil.operators.campaign import campaign_accounts, campaign_stages, with_campaign
 from vigil.operators.exchange import (
     consortium_apply, event_indicators, keyed_token, sketch_apply, sketch_lookup, sketch_match,
 )
@@ -55,7 +55,7 @@ def feature_table(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """One row per event: its columns, the 61 features and the 12 terminal features."""
-    df = sender_features(with_contexts(events, confirmed, settings), accounts, settings)
+    df = sender_features(with_contexts(events, confirmed, settings), accounts, settings, counted=events)
     has_recipient = F.col("recipient_id").isNotNull()
 
     def number(name: str):
@@ -74,25 +74,24 @@ def feature_table(
     return df.select(*keep, *config.FEATURES, *config.AGENT_FEATURES)
 
 
-def score_features(
+def scored_events(
     features: DataFrame,
     consortium: DataFrame | None = None,
     sketches: DataFrame | None = None,
-    prior_decisions: DataFrame | None = None,
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Decisions from a stored feature table.
+    """Scores and confidence from a stored feature table; everything that no decision feeds back into.
 
     ``features`` is read several times, so store it first (``timeline.cut`` or a table).  A column
-    ``model_score`` and a column ``resilience_mode`` are used when present.  ``prior_decisions`` is
-    the recorded decision log that the intervention budget counts.
+    ``model_score`` and a column ``resilience_mode`` are used when present.
     """
     df = features
     if "model_score" not in df.columns:
         df = df.withColumn("model_score", F.lit(None).cast("double"))
     if "resilience_mode" not in df.columns:
         df = df.withColumn("resilience_mode", F.lit("online"))
-    df = with_campaign(df, settings)
+    accounts = cut(campaign_accounts(campaign_stages(features), settings))
+    df = with_campaign(df, settings, accounts)
     df = fuse(anomaly(df)).withColumn(
         "fused_score",
         F.when(F.col("campaign_risk") >= 0.62, F.greatest("fused_score", "campaign_risk"))
@@ -118,8 +117,8 @@ def score_features(
                            "matched_indicators": "string"}.items():
             df = df.withColumn(name, F.lit(None).cast(kind))
     else:
-        indicators = event_indicators(with_campaign(features, settings))
-        matches = sketch_match(sketch_lookup(indicators, sketches, settings))
+        indicators = event_indicators(with_campaign(features, settings, accounts))
+        matches = cut(sketch_match(sketch_lookup(indicators, sketches, settings)))
         df = df.join(matches, "event_id", "left")
     df = decision_confidence(sketch_apply(df))
     outage = F.col("resilience_mode") != "online"
@@ -129,14 +128,34 @@ def score_features(
             F.when(outage, rnd(F.col("confidence_score") * F.col("confidence_multiplier")))
             .otherwise(F.col("confidence_score")),
         ).withColumn("confidence_level", F.expr(rules.confidence_level("confidence_score")))
+    return evidence_summary(df.withColumn("risk_level", F.expr(rules.risk_level("fused_score"))))
+
+
+def decide_events(
+    scored: DataFrame, prior_decisions: DataFrame | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Policy outcome, reasons and explanation of scored events.
+
+    ``prior_decisions`` is the recorded decision log that the intervention budget counts.
+    """
     if prior_decisions is None:
-        df = df.withColumn("regret_used", F.lit(0).cast("long"))
+        df = scored.withColumn("regret_used", F.lit(0).cast("long"))
     else:
         used = regret_used(
-            features.select("tenant_id", "account_id", "ts_us", "event_id"), prior_decisions,
+            scored.select("tenant_id", "account_id", "ts_us", "event_id"), prior_decisions,
             settings=settings,
         ).select("tenant_id", "event_id", "regret_used")
-        df = df.join(used, EVENT_KEY)
-    df = decide(df.withColumn("risk_level", F.expr(rules.risk_level("fused_score"))))
-    df = customer_explanation(reason_assembly(safety_envelope(df)))
-    return evidence_summary(df)
+        df = scored.join(used, EVENT_KEY)
+    return customer_explanation(reason_assembly(safety_envelope(decide(df))))
+
+
+def score_features(
+    features: DataFrame,
+    consortium: DataFrame | None = None,
+    sketches: DataFrame | None = None,
+    prior_decisions: DataFrame | None = None,
+    settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Decisions from a stored feature table: scores, then policy."""
+    scored = scored_events(features, consortium, sketches, settings)
+    return decide_events(cut(scored) if prior_decisions is not None else scored, prior_decisions, settings)
