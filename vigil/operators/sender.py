@@ -122,7 +122,7 @@ def account_history(
     base = slice_history(
         events, ["tenant_id", "account_id"], "ts_us",
         slice_rows=max(settings.slice_rows, cap + 1), halo_rows=cap,
-        bucket_us=settings.bucket_hours * HOUR_US, counted=counted,
+        bucket_us=settings.slice_bucket_minutes * MINUTE_US, counted=counted,
     )
     order = Window.partitionBy(*KEYS).orderBy("ts_us", "event_id")
     base = base.select(

@@ -11,9 +11,10 @@ from vigil import config
 from vigil.functions import rules as R
 from vigil.functions.scalars import DAY_US, HOUR_US, hmac_sha256, micros, rnd
 from vigil.operators import (
-    campaign, evaluation, exchange, governance, integrity, learning, network, policy, profile,
-    reputation, resilience, scoring, sender, terminal, validate,
+    campaign, evaluation, exchange, governance, integrity, learning, model, network, policy, profile,
+    reputation, resilience, scoring, sender, terminal, validate, whatif,
 )
+from vigil.operators.timeline import cut
 from vigil.plans import oracle as O
 from vigil.plans.fixtures import Inputs, inputs
 from vigil.plans.oracle import with_cte
@@ -1663,3 +1664,69 @@ def _(i):
     " order by separation_auc desc, feature limit 10"))
 def _(i):
     return evaluation.univariate_separation(i.labelled_features, config.MODEL_FEATURES)
+
+
+# ---------------------------------------------------------------------------- what-if and model
+def _override_sql(source: str, overrides: dict[str, str]) -> str:
+    return "select * replace (" + ", ".join(
+        f"cast({text} as double) as {n}" for n, text in overrides.items()) + f") from {source}"
+
+
+def _score_sql(source: str, name: str, keep: str = "*") -> str:
+    return f"select {keep}, greatest({R.anomaly_score()}, {R.security_floor()}) as {name} from {source}"
+
+
+_WHAT_IF = O.FEATURES + ",\n" + (
+    f"w0 as ({_score_sql('(select * from feat where recipient_id is not null)', 'base_score')}),\n"
+    f"w1 as ({_override_sql('w0', whatif.MULE_CONTEXT)}),\nw2 as ({_score_sql('w1', 'mule_score')}),\n"
+    f"w3 as ({_override_sql('w2', whatif.RECOVERY_PRECURSOR)}),\n"
+    f"w4 as ({_score_sql('w3', 'mule_and_recovery_score')})"
+)
+
+
+@query("what_if_mitigation", with_cte(
+    _WHAT_IF, "select event_id, base_score, mule_score, mule_and_recovery_score from w4"))
+def _(i):
+    return whatif.what_if_mitigation(i.features)
+
+
+def _values(values: list, name: str) -> str:
+    return "(values " + ", ".join(f"({v})" for v in values) + f") v_{name}({name})"
+
+
+_GRID = O.FEATURES + ",\n" + _PROF.replace("base as (", "pbase as (").replace("from base b", "from pbase b").replace(
+    "join base b", "join pbase b").replace("tx as (", "ptx as (").replace("from tx ", "from ptx ").replace(
+    "from tr ", "from ptr ").replace("from tr)", "from ptr)").replace("tr as (", "ptr as (", 1) + (
+    ",\ng0 as (select f.*, p.amount_median, p.amount_mad from feat f join prof p on p.account_id = f.account_id and p.tenant_id = f.tenant_id"
+    " qualify row_number() over (partition by f.tenant_id, f.account_id order by f.ts_us desc, f.event_id desc) = 1),\n"
+    "g1 as (select * from g0, " + ", ".join([_values(whatif.AMOUNTS, "c_amount")] + [
+        _values([0, 1], f) for f in whatif.FLAGS] + [
+        _values([f"cast({s} as double)" for s in whatif.SPEEDS], "c_speed"), _values(whatif.HOURS, "c_hour")]) + "),\n"
+    f"g2 as ({_override_sql('g1', whatif.CELL_FEATURES)}),\n"
+    + "g3 as (" + _score_sql("g2", "score", f"account_id, c_amount, {whatif.CHANGED} as changed") + ")"
+)
+
+
+@query("scenario_grid_search", with_cte(
+    _GRID, "select account_id, count(*) as cells, count(*) filter (where score < 0.48) as evasions,"
+    " -(min((-c_amount, changed, score)) filter (where score < 0.48))[1] as best_amount,"
+    " (min((-c_amount, changed, score)) filter (where score < 0.48))[2] as best_changed,"
+    " (min((-c_amount, changed, score)) filter (where score < 0.48))[3] as best_score from g3 group by account_id"))
+def _(i):
+    stats = profile.profile_stats(profile.newest(i.events, i.settings)).select(
+        "tenant_id", "account_id", "amount_median", "amount_mad")
+    rest = [c for c in i.features.columns if c not in ("tenant_id", "account_id")]
+    latest = i.features.groupBy("tenant_id", "account_id").agg(
+        F.max_by(F.struct(*rest), F.struct("ts_us", "event_id")).alias("r")
+    ).select("tenant_id", "account_id", "r.*")
+    return whatif.scenario_grid_search(latest.join(stats, ["tenant_id", "account_id"]))
+
+
+@query("train_forest")
+def _(i):
+    """Train on the first 65 % of events, report the last 18 %.  A smaller forest than the default."""
+    split = evaluation.chrono_split(i.labelled_features, "ts_us", "event_id")
+    data = cut(split.select("event_id", "label", "split", "scenario", *config.MODEL_FEATURES))
+    forest = model.train_calibrated(data.filter("split = 'train'"), trees=20, depth=6)
+    scored = forest.transform(data.filter("split = 'test'")).withColumn("score", F.col("model_score"))
+    return evaluation.with_wilson(evaluation.operating_points(scored, {"half": 0.5, **_T}))
