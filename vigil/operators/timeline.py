@@ -15,37 +15,15 @@ adds at s+1us and is taken back at s+L+1us.  Distinct counts are deltas of merge
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import HOUR_US
+from vigil.functions.storage import cut  # noqa: F401
 
 UNB = Window.unboundedPreceding
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vigil-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a reused intermediate once as a table in the shared folder and read it back.
-
-    Cuts the lineage, survives lost executors, and later readers still prune columns.
-    """
-    spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/vigil-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _bucket(at: str, width: int) -> Column:
     return F.floor(F.col(at) / F.lit(width)).cast("long")
 
