@@ -216,7 +216,9 @@ def fit_rules(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     """
     own = labelled(labels, key, label, most_rows)
     data = stats.join(F.broadcast(own), F.col(key) == F.col("__k")).select(
-        F.xxhash64(key).alias("h"), "__y", *(F.expr(v).cast("double").alias(k) for k, v in FEATURES.items())).toPandas()
+        F.xxhash64(key).alias("h"), "__y", *(F.expr(v).cast("double").alias(k) for k, v in FEATURES.items()))
+    # One row for each key and label, whatever the number of its copies, so that the sample stays bounded.
+    data = data.groupBy("h", "__y").agg(F.min(F.struct(*FEATURES)).alias("x")).select("h", "__y", "x.*").toPandas()
     data = data.sort_values(["h", "__y", *FEATURES], kind="stable", ignore_index=True)
     if data.empty:
         return []

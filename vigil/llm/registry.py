@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from vigil.llm.jaccard_join import op9_ngram_jaccard_join
 from vigil.llm.quality_rules import op10_quality_rules
 from vigil.llm.token_counts import op6_token_counts
 
 QUERIES = {
     "op6_token_counts": op6_token_counts,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
