@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from vigil.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
 from vigil.llm.jaccard_join import op9_ngram_jaccard_join
 from vigil.llm.quality_rules import op10_quality_rules
 from vigil.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": OP5_SQL,
+}
