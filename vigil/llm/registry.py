@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from vigil.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
 from vigil.llm.jaccard_join import op9_ngram_jaccard_join
+from vigil.llm.lm_scoring import op3_lm_scores
 from vigil.llm.mixing import OP4_SQL, op4_mix_sources
 from vigil.llm.quality_rules import op10_quality_rules
 from vigil.llm.token_counts import op6_token_counts
 from vigil.llm.token_store import op7_token_store
+from vigil.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_lm_scores": op3_lm_scores,
     "op4_mix_sources": op4_mix_sources,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
