@@ -7,6 +7,7 @@ from vigil.llm.jaccard_join import op9_ngram_jaccard_join
 from vigil.llm.lm_scoring import op3_lm_scores
 from vigil.llm.mixing import OP4_SQL, op4_mix_sources
 from vigil.llm.quality_rules import op10_quality_rules
+from vigil.llm.suffix_dedup import op8_suffix_dedup
 from vigil.llm.token_counts import op6_token_counts
 from vigil.llm.token_store import op7_token_store
 from vigil.llm.toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_token_store": op7_token_store,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
