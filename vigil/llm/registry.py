@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vigil.llm.decontamination import OP5_SQL, op5_benchmark_decontamination
+from vigil.llm.html_text import op1_html_text
 from vigil.llm.jaccard_join import op9_ngram_jaccard_join
 from vigil.llm.lm_scoring import op3_lm_scores
 from vigil.llm.mixing import OP4_SQL, op4_mix_sources
@@ -13,6 +14,7 @@ from vigil.llm.token_store import op7_token_store
 from vigil.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_toxicity": op2_toxicity,
     "op3_lm_scores": op3_lm_scores,
     "op4_mix_sources": op4_mix_sources,
