@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vigil.config import Settings
 from vigil.functions.scalars import DAY_US, HOUR_US
 from vigil.operators.sender import account_history
-from vigil.operators.timeline import neighbours, positions, running_at, slice_history
+from vigil.operators.timeline import neighbours, positions, running_at, time_slices
 from vigil.operators.topk import top_per_key
 
 from builders import NOW, event, events
@@ -41,36 +41,33 @@ def test_neighbours_and_positions(spark):
 def test_slices_cover_every_row_once_at_home(spark):
     rows = [("hot", i * HOUR_US // 4) for i in range(400)] + [("cold", i * HOUR_US) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, at long")
-    cut = slice_history(df, ["k"], "at", slice_rows=50, halo_rows=20).toPandas()
+    cut = time_slices(df, "at", 10 * HOUR_US).toPandas()
     assert cut["_home"].sum() == 405
     hot = cut[cut["k"] == "hot"]
     assert hot["_slice"].nunique() > 3
     for _, part in hot.groupby("_slice"):
         home = part[part["_home"]]["at"].min()
-        earlier = sum(1 for k, t in rows if k == "hot" and t < home)
-        assert (part["at"] < home).sum() >= min(20, earlier)
+        assert home != home or (part["at"] < home).sum() == sum(1 for k, t in rows if k == "hot" and home - 10 * HOUR_US <= t < home)
 
 
-@pytest.mark.parametrize("slice_rows", [25, 10_000])
-def test_history_cap_equals_newest_rows(spark, slice_rows):
-    """The row cap is exact, also when the account is cut into slices."""
+@pytest.mark.parametrize("days", [1, 2, 30])
+def test_history_is_the_whole_look_back(spark, days):
+    """All rows of the look-back count, in every slice of time."""
     rng = random.Random(3)
-    cap = 12
     rows = []
     for i in range(150):
         at = NOW + timedelta(minutes=i * 37 + rng.randrange(30))
         rows.append(event(f"ev-{i:04d}", "acct_1", at, amount=float(rng.randrange(1, 9) * 100),
                           channel=rng.choice(["app", "ussd"]), recipient_id=rng.choice("xyz"),
                           event_type=rng.choice(["purchase", "transfer", "login", "failed_login"])))
-    settings = Settings(max_history_events=cap, slice_rows=slice_rows, lookback_days=2)
+    settings = Settings(lookback_days=days)
     df = account_history(events(spark, rows), settings).select(
         "event_id", "h_events", "h_txns", "h_recipient", "h_channel", "h_txn_1h", "h_failed_24h",
         F.size("h_txn_rows").alias("listed"), "h_from_app")
     got = {r["event_id"]: r for r in df.collect()}
     assert len(got) == 150
     for e in rows:
-        history = [r for r in rows if e["occurred_at"] - timedelta(days=2) <= r["occurred_at"] < e["occurred_at"]]
-        history = sorted(history, key=lambda r: r["occurred_at"])[-cap:]
+        history = [r for r in rows if e["occurred_at"] - timedelta(days=days) <= r["occurred_at"] < e["occurred_at"]]
         trusted = [r for r in history if r["event_type"] != "failed_login"]
         txns = [r for r in trusted if r["event_type"] in ("purchase", "transfer")]
         row = got[e["event_id"]]

@@ -38,7 +38,6 @@ class Settings:
     """Tunable parameters with the reference defaults."""
 
     lookback_days: int = 180
-    max_history_events: int = 2000
     network_lookback_days: int = 7
     campaign_window_hours: int = 24
     evidence_max_age_seconds: int = 300
@@ -51,10 +50,7 @@ class Settings:
     heartbeat_max_age_seconds: int = 300
     edge_capsule_ttl_hours: int = 8
     recovery_batch_size: int = 100
-    # Scale knobs (no effect on results): rows of one account kept together and the grain of the cuts,
-    # and the width of the time buckets used by the two-level running aggregates.
-    slice_rows: int = 6_000
-    slice_bucket_minutes: int = 1
+    # Scale knobs (no effect on results): the width of the time buckets of the two-level running aggregates.
     bucket_hours: int = 1
     terminal_bucket_hours: int = 6
     # Keys are supplied by the deployment; these placeholders only make fixtures reproducible.

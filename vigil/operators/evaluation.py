@@ -166,25 +166,32 @@ def with_wilson(points: DataFrame) -> DataFrame:
                          flow.alias("fpr_low"), fhigh.alias("fpr_high"))
 
 
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """ln k! by Stirling's series at k + 11, taken down again."""
+    x = k + 11.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    for i in range(1, 11):
+        series = series - np.log(k + i)
+    return series
+
+
 @F.pandas_udf(DoubleType())
 def poisson_quantile(mean: pd.Series, u: pd.Series) -> pd.Series:
-    """Poisson quantile of a uniform number, vectorised: the weight of a resampled count."""
+    """Poisson quantile of a uniform number, vectorised: the weight of a resampled count.
+
+    The sum of the probabilities starts nine deviations below the mean (or at 0), where less than 1e-18 is left out.
+    """
     lam, draw = mean.to_numpy("float64"), u.to_numpy("float64")
-    value = np.zeros(len(lam))
-    pmf = np.exp(-lam)
+    spread = np.sqrt(lam)
+    value = np.maximum(0.0, np.floor(lam - 9 * spread))
+    pmf = np.exp(np.where(lam > 0, value * np.log(np.maximum(lam, 1e-300)) - lam - _log_factorial(value), 0.0))
     cdf = pmf.copy()
-    top = min(500.0, lam.max(initial=0.0))
-    for k in range(1, int(top + 12 * np.sqrt(top) + 20)):
-        value += draw > cdf
-        pmf = pmf * lam / k
-        cdf = cdf + pmf
-    # exp(-mean) underflows for very large counts, where the normal limit is exact enough.
-    large = lam > 500
-    if large.any():
-        from statistics import NormalDist
-
-        z = np.array([NormalDist().inv_cdf(x) for x in draw[large]])
-        value[large] = np.maximum(0.0, np.round(lam[large] + np.sqrt(lam[large]) * z))
+    active = np.flatnonzero((draw > cdf) & (lam > 0))
+    while len(active):
+        value[active] += 1
+        pmf[active] *= lam[active] / value[active]
+        cdf[active] += pmf[active]
+        active = active[(draw[active] > cdf[active]) & (value[active] < lam[active] + 12 * spread[active] + 40)]
     return pd.Series(value)
 
 

@@ -1,10 +1,9 @@
 """Point-in-time sender features: one row per event, from strictly earlier events of its account.
 
 History of an event = same tenant and account, earlier than the event, at most ``lookback_days``
-old, newest ``max_history_events`` rows.  A history row r therefore serves exactly the events with
-``r.ts < t <= r._exp``, where ``_exp`` is the earlier of its age limit and the time of the row
-``max_history_events`` places later.  Sliding counts are differences of growing sums, so each costs
-O(1) per row; only medians and calendar patterns collect the (bounded) history itself.
+old, without a limit on its rows.  A history row r therefore serves exactly the events with
+``r.ts < t <= r._exp``, where ``_exp`` is its age limit.  Sliding counts are differences of growing sums, so
+each costs O(1) per row; only medians and calendar patterns collect the history itself.
 
 All windows share one exchange on (tenant, account, slice); finer partition keys only re-sort.
 """
@@ -19,7 +18,7 @@ from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import (
     DAY_US, HOUR_US, MINUTE_US, clamp, flag, haversine_km, median_sorted, rnd,
 )
-from vigil.operators.timeline import UNB, slice_history
+from vigil.operators.timeline import UNB, time_slices
 
 KEYS = ["tenant_id", "account_id", "_slice"]
 
@@ -57,41 +56,32 @@ class History:
 
     def __init__(self, lookback_us: int, *keys: str):
         self.lookback = lookback_us
-        self.part = Window.partitionBy(*KEYS, *keys).orderBy("_t")
+        self.part = Window.partitionBy(*KEYS, *keys).orderBy("ts_us")
         self.before = self.part.rangeBetween(UNB, -1)
 
     def total(self, value: Column, window_us: int | None = None) -> Column:
         """Sum of a non-negative value over the history rows of the last ``window_us``.
 
-        (sum before t) - max(sum of rows too old for the window, sum of rows already expired).
+        (sum before t) - (sum of rows too old for the window).
         """
         window_us = window_us or self.lookback
-        live = F.when(F.col("_kind") == 0, value)
-        gone = F.when(F.col("_kind") == 1, value)
         zero = F.lit(0)
-        return F.coalesce(F.sum(live).over(self.before), zero) - F.greatest(
-            F.coalesce(F.sum(live).over(self.part.rangeBetween(UNB, -window_us - 1)), zero),
-            F.coalesce(F.sum(gone).over(self.before), zero),
-        )
+        return F.coalesce(F.sum(value).over(self.before), zero) - F.coalesce(
+            F.sum(value).over(self.part.rangeBetween(UNB, -window_us - 1)), zero)
 
     def count(self, condition: Column, window_us: int | None = None) -> Column:
         return self.total(condition.cast("long"), window_us)
 
     def last(self, value: Column, condition: Column | None = None) -> Column:
         """Latest value before t (also when it has expired meanwhile)."""
-        live = F.col("_kind") == 0
-        return F.last(F.when(live if condition is None else live & condition, value), True).over(
-            self.before
-        )
+        return F.last(value if condition is None else F.when(condition, value), True).over(self.before)
 
     def rows(self, value: Column, condition: Column, window_us: int | None = None) -> Column:
         """Array of history values inside the window, oldest first."""
         window_us = window_us or self.lookback
-        item = F.struct(F.col("_exp").alias("exp"), value.alias("v"))
-        listed = F.collect_list(F.when((F.col("_kind") == 0) & condition, item)).over(
-            self.part.rangeBetween(-window_us, -1)
-        )
-        return F.transform(F.filter(listed, lambda r: r["exp"] >= F.col("_t")), lambda r: r["v"])
+        item = F.when(condition, F.struct(value.alias("v")))
+        listed = F.collect_list(item).over(self.part.rangeBetween(-window_us, -1))
+        return F.transform(listed, lambda r: r["v"])
 
 
 def _robust(name: str) -> list[Column]:
@@ -114,16 +104,11 @@ def _reduce_array(df: DataFrame, name: str) -> DataFrame:
 
 
 def account_history(
-    events: DataFrame, settings: Settings = DEFAULTS, counted: DataFrame | None = None
+    events: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Events with the raw history quantities (prefix ``h_``) that the features read."""
     lookback = settings.lookback_days * DAY_US
-    cap = settings.max_history_events
-    base = slice_history(
-        events, ["tenant_id", "account_id"], "ts_us",
-        slice_rows=max(settings.slice_rows, cap + 1), halo_rows=cap,
-        bucket_us=settings.slice_bucket_minutes * MINUTE_US, counted=counted,
-    )
+    base = time_slices(events, "ts_us", lookback)
     order = Window.partitionBy(*KEYS).orderBy("ts_us", "event_id")
     base = base.select(
         "*",
@@ -134,21 +119,10 @@ def account_history(
         _hazard_code().alias("_hazard"), _sim_swap().alias("_swap"),
         F.when((F.col("interaction_ms") > 0) & (F.col("menu_depth") > 0),
                F.col("interaction_ms") / F.col("menu_depth")).alias("_speed"),
-        F.lead("ts_us", cap).over(order).alias("_capped_at"),
         F.lag("channel").over(order).alias("_lag_channel"),
         F.lead("channel").over(order).alias("_lead_channel"),
     )
-    aged = F.col("ts_us") + F.lit(lookback)
-    base = base.withColumn("_exp", F.least(aged, F.col("_capped_at")))
-    # Expiry rows are needed only where the row cap binds before the age limit.
-    binds = F.max(F.col("_exp") < aged).over(Window.partitionBy(*KEYS))
-    base = (
-        base.withColumn("_binds", binds)
-        .withColumn("_kind", F.explode(F.when(F.col("_binds"), F.array(F.lit(0), F.lit(1)))
-                                       .otherwise(F.array(F.lit(0)))))
-        .withColumn("_t", F.when(F.col("_kind") == 0, F.col("ts_us")).otherwise(F.col("_exp")))
-        .drop("_capped_at", "_binds")
-    )
+    base = base.withColumn("_exp", F.col("ts_us") + F.lit(lookback))
     tr, tx = F.col("_tr"), F.col("_tx")
 
     for key, name, seen in [
@@ -205,10 +179,7 @@ def account_history(
     # history row, so it must not count as an adjacent pair inside the history.
     pair = F.struct(F.col("_exp").alias("exp"), F.col("channel").alias("left"),
                     F.col("_lead_channel").alias("right"))
-    expired = F.last(F.when(F.col("_kind") == 1, pair), True).over(acct.before)
-    aged_out = F.last(F.when(F.col("_kind") == 0, pair), True).over(
-        acct.part.rangeBetween(UNB, -lookback - 1)
-    )
+    expired = F.last(pair, True).over(acct.part.rangeBetween(UNB, -lookback - 1))
     base = base.select(
         "*",
         acct.count(F.lit(True)).alias("h_events"),
@@ -222,7 +193,7 @@ def account_history(
         acct.count(kind.isin("pin_reset", "account_recovery"), 72 * HOUR_US).alias("h_recovery_72h"),
         acct.last(F.struct(F.col("_exp").alias("exp"), F.col("channel").alias("channel")))
         .alias("h_previous"),
-        F.coalesce(expired, aged_out).alias("h_straddle"),
+        expired.alias("h_straddle"),
         acct.last(
             F.struct(F.col("_exp").alias("exp"), F.col("ts_us").alias("at"), "latitude", "longitude"),
             tr & F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
@@ -242,7 +213,7 @@ def account_history(
             tx,
         ).alias("h_txn_rows"),
     )
-    return base.filter((F.col("_kind") == 0) & F.col("_home"))
+    return base.filter(F.col("_home"))
 
 
 def _reduce(history: DataFrame) -> DataFrame:
@@ -545,10 +516,9 @@ def sender_features(
     events: DataFrame,
     accounts: DataFrame | None = None,
     settings: Settings = DEFAULTS,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Events plus all sender features (6 decimals), risk-window state and precursors."""
-    df = _reduce(account_history(events, settings, counted)).withColumn(
+    df = _reduce(account_history(events, settings)).withColumn(
         "history_confidence", _confidence())
     computed = {**stateless_features(), **history_features()}
     df = df.select(

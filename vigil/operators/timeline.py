@@ -6,8 +6,7 @@ Three building blocks replace plain per-key windows over unbounded groups:
   (key, time bucket), a short scan over the buckets of a key, then a window inside one bucket.
   No task ever sees more than one bucket of one key.
 * ``neighbours`` / ``positions`` - previous / next time and exact row position, same two levels.
-* ``slice_history`` - cuts the timeline of a very long key into overlapping slices.  Exact for
-  operators whose look-back is bounded by a number of rows.
+* ``time_slices`` - cuts every timeline into slices of time that overlap by one look-back.
 
 A look-back window [t-L, t) becomes interval deltas: a row at s counts for queries in (s, s+L], so it
 adds at s+1us and is taken back at s+L+1us.  Distinct counts are deltas of merged intervals.
@@ -19,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import HOUR_US
-from vigil.functions.storage import cut  # noqa: F401
 
 UNB = Window.unboundedPreceding
 
@@ -125,60 +123,20 @@ def positions(
     )
 
 
-def slice_history(
-    df: DataFrame,
-    keys: list[str],
-    at: str,
-    slice_rows: int,
-    halo_rows: int,
-    bucket_us: int = HOUR_US,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Adds ``_slice`` and ``_home``; long keys are cut into slices with a halo of earlier rows.
+def time_slices(df: DataFrame, at: str, lookback_us: int) -> DataFrame:
+    """Adds ``_slice`` and ``_home``: every row's slice of time, and a copy in the next slice that still sees it.
 
-    A column-pruned pre-pass counts rows per key.  Only keys above ``slice_rows`` are cut, along
-    time-bucket borders; each slice also receives the buckets that hold the ``halo_rows`` rows
-    before it (``_home`` false).  Without such keys the input is returned with one slice and no
-    join or shuffle is added.  ``counted`` holds the same keys and times as ``df``, when ``df`` is
-    dearer to compute than its source.
+    Slices are two look-backs wide.  A row at s serves the times (s, s + look-back], so the home rows of a slice
+    find all rows that they may look back to in it, whatever the size of the key; no key is counted first.
     """
-    assert halo_rows < slice_rows
-    source = df if counted is None else counted
-    hot = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > slice_rows)
-    hot = cut(hot.select(*keys))
-    if hot.isEmpty():
-        return df.withColumn("_slice", F.lit(0).cast("long")).withColumn("_home", F.lit(True))
-
-    counts = (
-        source.select(*keys, _bucket(at, bucket_us).alias("_b"))
-        .join(hot, keys, "left_semi")
-        .groupBy(*keys, "_b")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(UNB, 0)
-    width = F.lit(slice_rows)
-    end = F.sum("_n").over(up_to)
-    plan = counts.select(*keys, "_b", (end - F.col("_n")).alias("_start"), end.alias("_end")).select(
-        *keys, "_b",
-        F.floor(F.col("_start") / width).cast("long").alias("_own"),
-        # Slices that begin within halo_rows after this bucket: the next bucket's slice, and at
-        # most one more since halo_rows < slice_rows.
-        F.array_distinct(
-            F.array(
-                F.floor(F.col("_start") / width).cast("long"),
-                F.floor(F.col("_end") / width).cast("long"),
-                F.floor((F.col("_end") + F.lit(halo_rows - 1)) / width).cast("long"),
-            )
-        ).alias("_slices"),
-    )
-    # Left to the optimizer: the slice plan holds one row per bucket of a long key, which may or may
-    # not fit a broadcast.
+    width = F.lit(2 * lookback_us)
+    own = F.floor(F.col(at) / width).cast("long")
+    last = F.floor((F.col(at) + F.lit(lookback_us)) / width).cast("long")
     return (
-        df.withColumn("_b", _bucket(at, bucket_us))
-        .join(plan, [*keys, "_b"], "left")
-        .withColumn("_slice", F.explode(F.coalesce("_slices", F.array(F.lit(0).cast("long")))))
-        .withColumn("_home", F.col("_slice") == F.coalesce("_own", F.lit(0).cast("long")))
-        .drop("_b", "_own", "_slices")
+        df.withColumn("_own", own)
+        .withColumn("_slice", F.explode(F.array_distinct(F.array(own, last))))
+        .withColumn("_home", F.col("_slice") == F.col("_own"))
+        .drop("_own")
     )
 
 

@@ -14,7 +14,7 @@ from vigil.operators import (
     campaign, evaluation, exchange, governance, integrity, learning, model, network, policy, profile,
     reputation, resilience, scoring, sender, terminal, validate, whatif,
 )
-from vigil.operators.timeline import cut
+from vigil.functions.storage import cut
 from vigil.plans import oracle as O
 from vigil.plans.fixtures import Inputs, inputs
 from vigil.plans.oracle import with_cte
@@ -1326,8 +1326,8 @@ def _(i):
 
 _WINDOWS = O.DECIDED + (
     ",\nnum as (select *, row_number() over (partition by tenant_id order by ts_us, event_id) as pos, count(*) over (partition by tenant_id) as total from dec),\n"
-    "win as (select *, least(500, total // 2) as w, pos > total - least(500, total // 2) as is_current from num"
-    " where pos <= least(500, total // 2) or pos > total - least(500, total // 2)),\n"
+    "win as (select *, (total // 2) as w, pos > total - (total // 2) as is_current from num"
+    " where pos <= (total // 2) or pos > total - (total // 2)),\n"
     "dl as (" + " union all ".join(
         f"select tenant_id, '{n}' as feature, is_current, {n} as value from win" for n in ["fused_score", *config.DRIFT_FEATURES])
     + "),\n" + _psi_sql("dl", "tenant_id, feature") + ",\n"
@@ -1724,9 +1724,9 @@ def _(i):
 
 @query("train_forest")
 def _(i):
-    """Train on the first 65 % of events, report the last 18 %.  A smaller forest than the default."""
+    """Train on the first 65 % of events, report the last 18 %."""
     split = evaluation.chrono_split(i.labelled_features, "ts_us", "event_id")
     data = cut(split.select("event_id", "label", "split", "scenario", *config.MODEL_FEATURES))
-    forest = model.train_calibrated(data.filter("split = 'train'"), trees=20, depth=6)
+    forest = model.train_calibrated(data.filter("split = 'train'"))
     scored = forest.transform(data.filter("split = 'test'")).withColumn("score", F.col("model_score"))
     return evaluation.with_wilson(evaluation.operating_points(scored, {"half": 0.5, **_T}))
