@@ -167,7 +167,7 @@ def evidence_summary(df: DataFrame) -> DataFrame:
 
 
 def reason_assembly(df: DataFrame) -> DataFrame:
-    """Prepend shared-intelligence, model, floor and outage reasons; keep the first eight."""
+    """Prepend shared-intelligence, model, floor and outage reasons; keep the first eight, each with its message."""
 
     def one(code: Column | str, contribution: Column) -> Column:
         return F.struct(
@@ -204,7 +204,9 @@ def reason_assembly(df: DataFrame) -> DataFrame:
         F.col("resilience_mode") != "online",
         F.concat(F.array(one("OUTAGE_EVIDENCE_DEGRADED", zero)), found),
     ).otherwise(found)
-    return df.withColumn("reasons", F.slice(outage, 1, config.MAX_REASONS))
+    top = F.slice(outage, 1, config.MAX_REASONS)
+    return df.withColumn("reasons", F.transform(top, lambda r: F.struct(
+        r["code"].alias("code"), reason_message(r["code"]).alias("message"), r["contribution"].alias("contribution"))))
 
 
 def reason_message(code: Column) -> Column:

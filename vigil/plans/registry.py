@@ -842,16 +842,23 @@ _ASSEMBLED = O.DECIDED + ",\n" + _REASONS + (
 )
 
 
-@query("reason_assembly", with_cte(_ASSEMBLED, "select event_id, array_to_string(rc8, '|') as codes from ra"))
-def _(i):
-    return i.decisions.select(
-        "event_id", F.array_join(F.transform("reasons", lambda x: x["code"]), "|").alias("codes"))
-
-
 def _case(column: str, table: dict[str, str]) -> str:
     return f"case {column} " + " ".join(f"when '{k}' then {R.text(v)}" for k, v in table.items()) + " end"
 
 
+_MESSAGES = ({f.upper(): m for f, m in config.REASON_MESSAGES.items()} | {c: m for c, _, _, m in config.COMPOUNDS}
+             | config.EXTRA_REASONS | config.SKETCH_REASONS)
+
+
+@query("reason_assembly", with_cte(
+    _ASSEMBLED, "select event_id, array_to_string(rc8, '|') as codes,"
+    " array_to_string(list_transform(rc8, lambda x: coalesce(" + _case("x", _MESSAGES) + ", '?')), '|') as messages from ra"))
+def _(i):
+    return i.decisions.select(
+        "event_id", F.array_join(F.transform("reasons", lambda x: x["code"]), "|").alias("codes"),
+        F.array_join(F.transform("reasons", lambda x: F.coalesce(x["message"], F.lit("?"))), "|").alias("messages"))
+
+
 @query("customer_explanation", with_cte(
     _ASSEMBLED + ",\nphr as (select *, list_slice(list_filter(list_transform(rc8, lambda x: " + _case("x", config.CUSTOMER_PHRASES)
     + "), lambda y: y is not null), 1, 3) as ph from ra)",
