@@ -1,0 +1,311 @@
+"""Each corpus operator against a brute-force version on a small fixture with awkward rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import types as T
+
+from vigil.llm import (decontamination, html_text, jaccard_join, lm_scoring, mixing, quality_rules, suffix_dedup, token_counts, token_store,
+                       toxicity)
+
+DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The small table with nulls, empty and very long texts, copies, periodic texts and zero bytes."""
+    base = spark.read.parquet(f"{DIR}/documents.parquet")
+    text = base.where("doc_id = 5").first().text
+    rows = [(9000, None, None, None, None), (9001, "", "en", "src0", 0), (9002, " \n\t", "en", "", 3), (9003, text, None, None, 1), (9004, text, "xx", "src1", 1),
+            (9005, re.sub("[a-z]", lambda m: m[0].upper(), text), "en", "src1", 1), (9006, "ab " * 9000, "en", "src2", 1), (9007, "x" * 250, "en", "src2", 1), (9008, "\0" * 150, "en", "src2", 1),
+            (9009, "a<|endoftext|>  \n b \x1c c　d", "en", "src2", 1), (9010, text + " one more word", "en", "src3", 1), (9011, "two words", "en", "src3", 1),
+            (9012, "two words", "en", "src3", 1), (9013, "日本 語 Ünï", "ja", "src3", 1)]
+    return base.unionByName(spark.createDataFrame(rows, SCHEMA)).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def plain(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def test_html_text(spark):
+    table = "<table><caption>Cap</caption><tr><th>Name<th>Qty<tr><td>apple<td>3<tr><td colspan=2>long <b>name</b></table>"
+    page = f"<head><title>t</title></head><p>one  two<p>three<br>four<ul><li>a<li>b<ol start=3><li>x</ol></ul><div hidden>no</div>{table}<pre>\n a\n  b</pre>&lt;end"
+    want = "one two\n\nthree\nfour\n\n- a\n- b\n  3. x\n\nCap\n\nName   Qty\napple  3\nlong name\n\n a\n  b\n\n<end"
+    assert html_text.render(page)[0] == want
+    deep = "<div>" * 30000 + "x" + "<table><tr><td>" * 60 + "y"
+    rows = [(1, page, "clash"), (1, page, "clash"), (2, None, None), (3, "", ""), (4, "<", "a"), (5, deep, "a")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = [(r.page_id, r.text) for r in html_text.extract_text(df).collect()]
+    assert sorted(got) == [(1, want), (1, want), (2, ""), (3, ""), (4, "<"), (5, "x\n\ny")]
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_hides_what_a_browser_hides():
+    page = "<script>var t='</p>'</script><details><summary>s</summary>no</details><span style='display: none'>no</span><noscript>no</noscript><select><option>a<option selected>b</select>"
+    assert html_text.render(page)[0] == "s\nb" or html_text.render(page)[0] == "s\n\nb"
+
+
+def test_toxicity_learns_without_the_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    out = toxicity.op2_toxicity(spark, "/root/testdata/sf0.01").toPandas()
+    assert len(out) == docs.count() and out.score.between(0, 1).all() and ((out.score >= 0.7) == (out.predicted == 1)).all()
+    assert (out.held_out == out.doc_id.map(lambda x: zlib.crc32(str(x).encode()) % 3 == 1)).all()
+    known = out.merge(labels.toPandas(), on="doc_id")
+    held = known[known.held_out]
+    rank, n1 = held.score.rank(), (held.toxic == 1).sum()
+    assert (rank[held.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(held) - n1)) > 0.85
+    flipped = labels.withColumn("toxic", (toxicity.fold("doc_id", 3) == 1).cast("int") * (1 - labels.toxic) + (toxicity.fold("doc_id", 3) != 1).cast("int") * labels.toxic)
+    one, two = (toxicity.train(docs, x, may_learn=toxicity.fold("doc_id", 3) != 1) for x in (labels, flipped))
+    assert (one.weights == two.weights).all() and one.intercept == two.intercept
+
+
+def test_toxicity_edges(spark, docs, nothing):
+    labels = spark.createDataFrame([(9003, 1), (9011, 0), (None, 1), (9004, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = by_id(toxicity.score(docs, model))
+    assert got[9000].score == got[9001].score and got[9003].score == got[9004].score > got[9011].score
+    assert len(toxicity.train(docs, labels.limit(0)).chosen) == 0
+    assert toxicity.score(nothing, model).count() == 0
+
+
+def test_lm_scores(spark, docs, plain, nothing):
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    got = by_id(lm_scoring.lm_scores(docs, fold, path, frequent=500))
+    training = Counter()
+    for i, text in plain.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            training.update([*words(text), None])
+    n, v = sum(training.values()), len(training)
+    for i, text in plain.items():
+        own = [*words(text), None]
+        base = sum(math.log10((training[w] + 1) / (n + v + 1)) for w in own)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(training[w] > 0 for w in own), n)
+        assert got[i].base_score == pytest.approx(base) and got[i].score < 0 and math.isfinite(got[i].score)
+    assert got[9003].score == pytest.approx(got[9005].score) and got[9000].score == got[9001].score
+    assert lm_scoring.lm_scores(nothing, fold, path).count() == 0
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = (b" ", b" a", b"a", b"aa", b"ab", b"b", *(bytes([x]) for x in (120, 255)))
+    p = np.array([0.05, 0.2, 0.1, 0.15, 0.2, 0.1, 0.1, 0.1])
+    lattice = lm_scoring.Lattice(pieces, np.log(p))
+
+    def brute(word):
+        return 1.0 if not word else sum(q * brute(word[len(x):]) for x, q in zip(pieces, p) if word.startswith(x))
+
+    own = [b"a", b"aab", b"aaaa", b"bx\xff", b"abab"]
+    assert np.exp(lm_scoring.log_probability(lattice, own)) == pytest.approx([brute(b" " + w) for w in own])
+    total = np.zeros(len(pieces))
+    lattice.expected(np.array([[32, 97, 97]], np.uint8), np.array([3.0]), total)
+    assert total @ [len(x) for x in pieces] == pytest.approx(9.0)  # expected pieces spell the word
+
+
+def test_mixing_matches_sql(spark, docs, tmp_path, nothing):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = mixing.op4_mix_sources(spark, str(tmp_path)).toPandas().sort_values("doc_id", ignore_index=True)
+    want = con.sql(mixing.OP4_SQL).fetchdf().sort_values("doc_id", ignore_index=True)[list(got.columns)]
+    assert got.equals(want.astype(got.dtypes))
+    assert (got.taken <= 3 * got["size"]).all()
+    mixed = mixing.mix(docs, keep=docs.columns)
+    assert mixing.emit(mixed).columns == docs.columns and mixing.emit(mixed).count() == mixed.agg({"__copies": "sum"}).first()[0]
+    assert mixing.mix(nothing).count() == 0
+
+
+def test_targets_stop_at_the_cap(spark):
+    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), ("d", 0)], "key string, source_size long")
+    got = {r.key: r.target for r in mixing.targets(sizes).collect()}
+    assert got == {"a": 30.0, "b": pytest.approx(940.0), "c": 60.0, "d": 0.0}
+
+
+def test_decontamination_matches_sql(spark, docs, tmp_path, nothing):
+    items = spark.read.parquet(f"{DIR}/benchmark.parquet")
+    text = items.first().text
+    extra = docs.union(spark.createDataFrame([(9100, f"before {text.upper()} after", "en", "s", 1), (9101, " ".join(text.split()[:12]), "en", "s", 1), (9102, f"{text} {text}", "en", "s", 1)], SCHEMA))
+    more = items.union(spark.createDataFrame([(900, None), (901, ""), (902, "two words"), (903, "words, two"), (902, "two words"), (904, text)], items.schema))
+    extra.write.parquet(f"{tmp_path}/documents.parquet")
+    more.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for x in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {x} AS SELECT * FROM '{tmp_path}/{x}.parquet/*.parquet'")
+    got = decontamination.op5_benchmark_decontamination(spark, str(tmp_path)).toPandas().sort_values("doc_id", ignore_index=True)
+    want = con.sql(decontamination.OP5_SQL).fetchdf().sort_values("doc_id", ignore_index=True)[list(got.columns)]
+    assert got.equals(want.astype(got.dtypes))
+    assert got.set_index("doc_id").contaminated[[9011, 9100, 9102]].all()
+    assert decontamination.contamination(nothing, more).count() == 0
+    assert decontamination.contamination(docs, more.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "x x alpha y beta y gamma"), (2, "alpha " + "y " * 40 + "beta gamma"), (3, None)], "doc_id long, text string")
+    index = decontamination.build_index(docs)
+    terms = decontamination.test_terms(spark.createDataFrame([(7, "gamma alpha beta")], "item_id long, text string"))
+    got = decontamination.proximity_matches(index, terms, 3, 5).collect()
+    assert len(got) == 1 and got[0].item == "7"
+
+
+def test_token_counts(docs, plain, nothing):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = dict(zip(plain, token_counts.counts_of(path, [x or "" for x in plain.values()])))
+    for frequent, cache in ((100, 50), (5000, 100_000)):
+        got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path, frequent=frequent, cache_units=cache).collect()}
+        assert got == want
+    assert token_counts.token_counts(nothing, path).count() == 0
+
+
+def test_token_store_round_trip(spark, docs, plain, nothing):
+    from vigil.functions.storage import new_path
+
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = new_path(spark, "test-tokens")
+    token_store.write_store(docs, path, tokenizer, block_bytes=20_000)
+    got, start = by_id(token_store.read_digests(spark, path)), 0
+    library = token_counts.library(tokenizer)
+    for i in sorted(plain):
+        ids = [*library.encode(plain[i] or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    few = token_store.fetch(spark, path, [9000, 9011, 123456])
+    assert few[9000] == [[2]] and few[9011] == [[*library.encode("two words", add_special_tokens=False).ids, 2]] and few[123456] == []
+    assert token_store.store_and_digest(nothing, tokenizer).count() == 0
+
+
+def test_suffix_dedup(docs, plain, nothing):
+    got, seen = by_id(suffix_dedup.remove_repeats(docs)), set()
+    for i in sorted(plain):
+        raw = (plain[i] or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = True
+            seen.add(raw[p : p + 100])
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(raw) else 0
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw), gone.sum(), spans, hashlib.sha256(kept).hexdigest()), i
+    assert suffix_dedup.remove_repeats(nothing).count() == 0
+
+
+def test_levels_stay_geometric():
+    rng = np.random.default_rng(1)
+    family, seen = suffix_dedup.Levels(), set()
+    for _ in range(40):
+        batch = np.array([f"{x:04d}" for x in rng.integers(0, 3000, 50)], "S4")
+        want = []
+        for x in batch:
+            want.append(x in seen)
+            seen.add(x)
+        assert family.batch(batch).tolist() == want
+        sizes = [len(x) for x in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+@pytest.mark.parametrize("size, num", [(4, 85), (5, 80)])
+def test_jaccard_components(docs, plain, nothing, size, num):
+    got = by_id(jaccard_join.jaccard_components(docs, size=size, num=num))
+    sets = {}
+    for i, text in plain.items():
+        w = words(text)
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    order = sorted(sets)
+    for k, a in enumerate(order):
+        for b in order[:k]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= num * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert {i: (len(s), find(i)) for i, s in sets.items()} == {i: (r.n_shingles, r.component_id) for i, r in got.items()}
+    assert jaccard_join.jaccard_components(nothing).count() == 0
+
+
+def test_pigeonhole_loses_no_pair():
+    """Random pairs at the threshold meet in an index entry, for sets of all band sizes and with every allocation."""
+    rng = np.random.default_rng(2)
+    for common in (0.0, 0.9):
+        for _ in range(300):
+            n = int(rng.integers(1, 400))
+            base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            most = int(len(base) * 15 / 85)
+            other = np.unique(np.concatenate([base[: len(base) - int(rng.integers(0, max(1, len(base) * 15 // 100 + 1)))], rng.integers(0, 2**64, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(base, other))
+            if 100 * both < 85 * (len(base) + len(other) - both):
+                continue
+            found = []
+            for s in (base, other):
+                own = [b for b in jaccard_join.bands(85, 100, 2 << len(s).bit_length(), common) if b.low <= len(s) <= b.high or (len(s) < b.low and 100 * len(s) >= 85 * b.low)]
+                found.append(set(np.concatenate([jaccard_join.entries(s, b) for b in own]).tolist()))
+            assert found[0] & found[1]
+            for a, b in zip(jaccard_join.bitmaps(base)[2:], jaccard_join.bitmaps(other)[2:]):
+                apart = sum(int(x).bit_count() for x in a.view(np.uint64) ^ b.view(np.uint64))
+                assert apart <= len(base) + len(other) - 2 * both
+
+
+def test_quality_statistics(docs, plain, nothing):
+    got = by_id(quality_rules.text_statistics(docs, keep=["doc_id"]))
+    word = re.compile("[^\x20\x09-\x0d]+")
+    for i, text in plain.items():
+        w = word.findall(text or "")
+        windows = list(zip(w, w[1:], w[2:]))
+        n, hit = Counter(windows), set()
+        for k, x in enumerate(windows):
+            hit |= {k, k + 1, k + 2} if n[x] > 1 else set()
+        lines = Counter(x for x in (text or "").split("\n") if word.search(x))
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(lines.values()) - len(lines), len(hit))
+        assert tuple(got[i][1:6]) == want, i
+    clash = quality_rules.text_statistics(docs.withColumnRenamed("n_chars", "n_words"))
+    assert clash.columns.count("n_words") == 1
+    assert quality_rules.text_statistics(nothing).count() == 0
+
+
+def test_rules_cover_and_prune():
+    rng = np.random.default_rng(3)
+    x = {"a": rng.random(3000), "b": rng.random(3000)}
+    bad = (x["a"] > 0.8) | ((x["b"] < 0.2) & (x["a"] > 0.4))
+    rules = quality_rules.learn_rules(x, bad, np.arange(3000) % 3)
+    hit = np.zeros(3000, bool)
+    for rule in rules:
+        hit |= rule.mask(x)
+    assert 2 <= len(rules) <= 8 and (hit == bad).mean() > 0.98
+    assert quality_rules.learn_rules(x, np.zeros(3000, bool), np.arange(3000) % 3) == []
+
+
+def test_quality_verdict(spark, docs, nothing):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    out = quality_rules.decide(docs, labels)
+    assert out.where("kept and base_failed").count() == 0 and out.count() == docs.count()
+    assert out.where("doc_id = 9000 and not kept").count() == 1
+    assert quality_rules.decide(docs, labels.limit(0)).where("kept = base_failed").count() == 0
+    assert quality_rules.decide(nothing, labels).count() == 0
+    assert T.BooleanType() == out.schema["kept"].dataType
