@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import DAY_US, HOUR_US, clamp, flag, rnd
+from vigil.functions.storage import cut
 from vigil.operators.timeline import interval_deltas, neighbours, running_at
 
 MONEY = "decimal(28,6)"  # exact running sums of amounts
@@ -33,10 +34,10 @@ def recipient_context(events: DataFrame, settings: Settings = DEFAULTS) -> DataF
         "tenant_id", "event_id", "account_id", "recipient_id", "ts_us", "amount",
         (F.col("event_type").isin(config.TRANSACTION_TYPES) & F.col("success")).alias("is_edge"),
     )
-    inbound = neighbours(
+    inbound = cut(neighbours(
         edges.filter("recipient_id is not null"),
         ["tenant_id", "recipient_id", "account_id"], "ts_us", "event_id", F.col("is_edge"), bucket,
-    )
+    ), "inbound")
 
     t, prev, nxt = F.col("ts_us"), F.col("prev_at"), F.col("next_at")
     first_from = F.greatest(t, prev + lookback)

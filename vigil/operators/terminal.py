@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import DAY_US, HOUR_US, clamp, flag, haversine_km
+from vigil.functions.storage import cut
 from vigil.operators.network import MONEY
 from vigil.operators.timeline import interval_deltas, neighbours, running_at
 
@@ -122,14 +123,13 @@ def _paid():
 
 def terminal_context(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """(tenant_id, event_id) and the terminal aggregates of attested agent events."""
-    agent = attested(events)
+    agent = cut(attested(events).select(
+        "tenant_id", "terminal", "account_id", "event_id", "ts_us", "event_type", "recipient_id", "amount"), "agent")
     bucket = settings.bucket_hours * HOUR_US
     hour, day = F.lit(HOUR_US), F.lit(24 * HOUR_US)
-    near = neighbours(
-        agent.select("tenant_id", "terminal", "account_id", "event_id", "ts_us", "event_type",
-                     "recipient_id", "amount"),
-        ["tenant_id", "terminal", "account_id"], "ts_us", "event_id", F.lit(True), bucket,
-    )
+    near = cut(neighbours(
+        agent, ["tenant_id", "terminal", "account_id"], "ts_us", "event_id", F.lit(True), bucket,
+    ), "near")
     t, prev, nxt = F.col("ts_us"), F.col("prev_at"), F.col("next_at")
     one, failed = F.lit(1), (F.col("event_type") == "failed_login").cast("long")
     txn = F.col("event_type").isin(config.TRANSACTION_TYPES)

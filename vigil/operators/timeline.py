@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import HOUR_US
+from vigil.functions.storage import cut
 
 UNB = Window.unboundedPreceding
 
@@ -49,7 +50,8 @@ def running_at(
         F.struct(F.lit(True).alias("_is_query"), *payload).alias("_q"),
     )
     rows = data.select(*keys, at, *values).unionByName(asked, allowMissingColumns=True)
-    rows = rows.withColumn("_b", _bucket(at, bucket_us))
+    # Stored once as a narrow table: totals and rows both read it, and nothing upstream is computed twice.
+    rows = cut(rows.withColumn("_b", _bucket(at, bucket_us)), "deltas")
 
     totals = rows.groupBy(*keys, "_b").agg(
         *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in maxs]
