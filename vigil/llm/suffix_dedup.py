@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import textbuf as tb
+from vigil.llm.token_counts import _pieces
 
 #: Low bits of a selection key that hold the position, so that of equal hashes the leftmost is smallest.
 POSITION_BITS = 31
@@ -109,7 +110,8 @@ class Levels:
 
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
     """A table of 2**bits bits with the bits of the hashes set; at most 2**(bits - 6) rows reach the driver."""
-    slot = F.shiftrightunsigned("h", 64 - bits)
+    # Anchors are minima, so their high bits crowd near zero; the low bits are even.
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     words = hashes.select(F.shiftright(slot, 6).alias("w"), slot.alias("slot")).select("w", F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
     words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table = np.zeros(1 << max(bits - 6, 0), np.uint64)
@@ -143,7 +145,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
             for lo, _, data, offsets in tb.slices(batch.column(2)):
                 h, start, stop, own = anchors(data, offsets, length, gram)
-                slot = h >> np.uint64(64 - table_bits)
+                slot = h & np.uint64((1 << table_bits) - 1)
                 keep = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
                 h, start, stop, own = h[keep], start[keep], stop[keep], own[keep]
                 contexts = tb.span_hashes(data, start, stop - 1 + length)
@@ -157,7 +159,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                         again[i] = True
                     elif key[i] < first[c]:
                         first[c] = key[i]
-                if len(first) > 1_000_000:
+                if len(first) > 300_000:
                     first.clear()
                 left = np.flatnonzero(~again)
                 raw, at = gather(data, start[left], stop[left] - 1 + length - start[left])
@@ -174,7 +176,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     # A place without bytes is decided already; it travels with the others, spread by its own position.
     found = rows.mapInArrow(places, PLACES)
     deal = F.when(F.col("bytes").isNull(), F.xxhash64("name", "start")).otherwise(F.col("h"))
-    found = found.repartition(deal).sortWithinPartitions("id", "name", "start")
+    # A task holds its partition's suffixes, hence more and smaller partitions than a shuffle has by default.
+    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(parts, deal).sortWithinPartitions("id", "name", "start")
 
     def match(batches):
         held = []
@@ -231,8 +235,8 @@ def _matches(rows: pa.RecordBatch, length: int):
         at = to
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes) of every row.
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100, keep_bytes: bool = True) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_bytes``, kept (the remaining bytes) of every row.
 
     Texts are UTF-8 bytes (null: empty); matches never cross documents.  Documents stand in order of id, null
     first; rows with one id and different texts in order of the texts' hash; rows that repeat id and text are one
@@ -245,7 +249,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     joined = rows.join(spans, rows["id"].eqNullSafe(spans["id"]) & (rows["name"] == spans["name"]), "left").select(rows["id"], "text", F.col("spans.start").alias("a"), F.col("spans.stop").alias("b"))
 
     def cut_out(batches):
-        for batch in batches:
+        for batch in _pieces(batches, 500):
             out: list[tuple] = []
             for value, a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 raw = value.encode("utf-8", "surrogatepass")
@@ -259,14 +263,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)),
-                pa.array([r[3] for r in out], pa.string()), pa.array([r[4] for r in out], pa.binary())],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            columns = [batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3)), pa.array([r[3] for r in out], pa.string())]
+            if keep_bytes:
+                columns.append(pa.array([r[4] for r in out], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(columns)])
 
-    return joined.mapInArrow(cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").withColumnRenamed("id", id)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_bytes else "")
+    return joined.mapInArrow(cut_out, schema).withColumnRenamed("id", id)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_bytes=False)
