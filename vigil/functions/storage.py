@@ -54,6 +54,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Intermediates of one operator: ``cut`` stores them, ``last`` stores the result and deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, name: str = "vigil") -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def last(self, df: DataFrame, name: str = "vigil") -> DataFrame:
+        out = cut(df, name)
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths = []
+        return out
+
+
 def small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     """Hint a broadcast only when the stored table is counted and has at most ``rows`` rows."""
     fits = df.limit(rows + 1).count() <= rows
