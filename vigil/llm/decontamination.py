@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.storage import cut, small
+from vigil.functions.storage import Scratch, cut, small
 
 #: Digits, letters and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -31,7 +31,7 @@ def lowered(word: str) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(F.col(word), UPPER, LOWER))
 
 
-def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", cut=cut) -> DataFrame:
     """The stored index: doc (row number), term (64-bit hash of the word), pos, and id.
 
     Each document also has one row without a term: its ``pos`` is the number of words, its ``id`` the document's id.
@@ -66,7 +66,7 @@ def _anchors(terms: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
                          second["off"].alias("off2"), second["term"].alias("term2")).distinct()
 
 
-def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 13) -> DataFrame:
+def phrase_matches(index: DataFrame, terms: DataFrame, window: int = 13, cut=cut) -> DataFrame:
     """doc, item, first, last: maximal runs of positions that match an item word for word over ``window`` words or more.
 
     An item of fewer words matches as a whole.
@@ -124,17 +124,19 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     ``window`` consecutive words of an item, or of a whole shorter item.  A null or empty text or item has no
     words: nothing is hit, the digest is that of an empty string.  Equal items under one id count once.
     """
-    index = build_index(docs, id, text)
-    matches = cut(phrase_matches(index, test_terms(items, item_id, item_text), window), "matches")
+    scratch = Scratch(docs.sparkSession)
+    index = build_index(docs, id, text, scratch.cut)
+    matches = scratch.cut(phrase_matches(index, test_terms(items, item_id, item_text), window, scratch.cut), "matches")
     hit = matches.select("doc", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("n_hit"))
     named = matches.groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
     heads = index.where(F.col("term").isNull()).select("doc", F.col("id").alias(id), F.col("pos").cast("long").alias("n_words"))
     out = heads.join(hit.join(named, "doc"), "doc", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(
+    out = out.select(
         id, "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return scratch.last(out, "contamination")
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
