@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.storage import cut
 from vigil.llm import textbuf as tb
 
 SIZES = (3, 4, 5, 6)
@@ -151,21 +152,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "d
         yield pa.RecordBatch.from_arrays([
             pa.array(np.append(at, -1)), pa.array(np.append(total[0, at], seen[0])), pa.array(np.append(total[1, at], seen[1]))], names=["bucket", "clean", "toxic"])
 
-    counts = rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("q"), F.sum("toxic").alias("p")).toPandas()
-    seen = counts[counts.bucket < 0]
-    n_clean, n_toxic = (int(seen.q.sum()), int(seen.p.sum()))
+    counts = cut(rows.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("q"), F.sum("toxic").alias("p")), "grams")
+    seen = counts.where("bucket < 0").agg(F.coalesce(F.sum("q"), F.lit(0)).alias("q"), F.coalesce(F.sum("p"), F.lit(0)).alias("p")).first()
+    n_clean, n_toxic = int(seen.q), int(seen.p)
     if not n_clean or not n_toxic:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log((n_toxic + 1) / (n_clean + 1))))
-    counts = counts[counts.bucket >= 0]
-    p, q = counts.p.to_numpy(float), counts.q.to_numpy(float)
-    ratio = np.log((p + smoothing) / (n_toxic + 2 * smoothing)) - np.log((q + smoothing) / (n_clean + 2 * smoothing))
-    share_p, share_q = p / n_toxic, q / n_clean
+    share_p, share_q = F.col("p") / float(n_toxic), F.col("q") / float(n_clean)
     pooled = (share_p + share_q) / 2
-    worth = (share_p - share_q) ** 2 / np.maximum(pooled * (1 - pooled), 1e-6)
-    best = np.lexsort((counts.bucket.to_numpy(), -worth))[:features]
-    chosen, ratio = counts.bucket.to_numpy()[best], ratio[best]
+    worth = F.pow(share_p - share_q, 2) / F.greatest(pooled * (1 - pooled), F.lit(1e-6))
+    best = counts.where("bucket >= 0").orderBy(worth.desc(), "bucket").limit(features).toPandas()
+    p, q = best.p.to_numpy(float), best.q.to_numpy(float)
+    ratio = np.log((p + smoothing) / (n_toxic + 2 * smoothing)) - np.log((q + smoothing) / (n_clean + 2 * smoothing))
+    chosen = best.bucket.to_numpy()
     wanted = np.zeros(1 << BITS, bool)
     wanted[chosen] = True
+    slot = np.zeros(1 << BITS, np.int32)
+    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def select(batches):
         for batch in batches:
@@ -174,13 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id: str = "d
                 ends = np.searchsorted(text_of, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bucket))], names=["y", "id", "x"])
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(slot[bucket]))], names=["y", "id", "x"])
 
-    data = rows.mapInArrow(select, "y int, id long, x array<long>").toPandas().sort_values("id", ignore_index=True)
-    slot = np.zeros(1 << BITS, np.int64)
-    slot[chosen] = np.arange(len(chosen))
+    data = rows.mapInArrow(select, "y int, id long, x array<int>").toPandas().sort_values("id", ignore_index=True)
     lengths = data.x.map(len).to_numpy()
-    columns = slot[np.concatenate([np.asarray(x, np.int64) for x in data.x])] if lengths.sum() else np.zeros(0, np.int64)
+    columns = np.concatenate([np.asarray(x, np.int32) for x in data.x]).astype(np.int64) if lengths.sum() else np.zeros(0, np.int64)
     weights, intercept = fit(np.repeat(np.arange(len(data)), lengths), columns, data.y.to_numpy() == 1, ratio, penalty)
     return Model(chosen, weights, intercept)
 
