@@ -59,6 +59,18 @@ class Encoder:
         return out
 
 
+#: Encoders of this process; a worker keeps its units from task to task.
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, end: int, width: int, cache_units: int) -> Encoder:
+    key = (path, end, width, cache_units)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
 def train_dictionary(docs: DataFrame, encoder: Encoder, id: str, text: str, rows: int, bytes_each: int, size: int) -> bytes:
     """A zstandard dictionary from the ``rows`` documents with the smallest hash of their id.
 
@@ -79,7 +91,7 @@ def train_dictionary(docs: DataFrame, encoder: Encoder, id: str, text: str, rows
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id: str = "doc_id", text: str = "text", level: int = 3,
-                block_bytes: int = 1 << 20, dictionary_rows: int = 2_000, dictionary_bytes: int = 32 << 10, cache_units: int = 400_000) -> None:
+                block_bytes: int = 1 << 20, dictionary_rows: int = 2_000, dictionary_bytes: int = 32 << 10, cache_units: int = 800_000) -> None:
     """Encodes every text (null: empty) and writes the store; rows that repeat an id follow one another."""
     spark = docs.sparkSession
     width = 2 if max(library(tokenizer).get_vocab_size(True) - 1, end) < 1 << 16 else 4
@@ -90,7 +102,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id: st
     def pack(batches):
         import zstandard
 
-        encoder = Encoder(tokenizer, end, width, cache_units)
+        encoder = encoder_of(tokenizer, end, width, cache_units)
         frames = zstandard.ZstdCompressor(level, dict_data=zstandard.ZstdCompressionDict(shared.value) if shared.value else None)
         shard, block, before = TaskContext.get().partitionId(), 0, 0
         ids, counts, held, size = [], [], [], 0
