@@ -108,14 +108,30 @@ class Levels:
         return out
 
 
+#: Bits of one page of the table.
+PAGE_BITS = 18
+
+
 def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits bits with the bits of the hashes set; at most 2**(bits - 6) rows reach the driver."""
+    """A table of 2**bits bits with the bits of the hashes set, filled page by page in tasks."""
+    low, words = PAGE_BITS, 1 << (PAGE_BITS - 6)
     # Anchors are minima, so their high bits crowd near zero; the low bits are even.
-    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = hashes.select(F.shiftright(slot, 6).alias("w"), slot.alias("slot")).select("w", F.expr("shiftleft(1L, CAST(slot % 64 AS INT))").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    slots = hashes.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
+
+    def fill(batches):
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = np.sort(batch.column(0).to_numpy())
+            for own in np.split(slot, np.flatnonzero(np.diff(slot >> low)) + 1):
+                if len(own):
+                    page = pages.setdefault(int(own[0] >> low), np.zeros(words, np.uint64))
+                    at = own & ((1 << low) - 1)
+                    np.bitwise_or.at(page, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], names=["page", "bits"])
+
     table = np.zeros(1 << max(bits - 6, 0), np.uint64)
-    table[words.w.to_numpy()] = words.b.to_numpy().view(np.uint64)
+    for row in slots.repartition(F.shiftright("slot", low)).mapInArrow(fill, "page long, bits binary").toLocalIterator():
+        table[row.page * words : (row.page + 1) * words] = np.frombuffer(row.bits, np.uint64)
     return table
 
 
