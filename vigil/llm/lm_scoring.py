@@ -27,6 +27,8 @@ from vigil.llm.token_counts import _pieces
 #: Words of one lattice pass.
 LATTICE_WORDS = 20_000
 LOG10 = np.log(10.0)
+#: Words up to this length mostly keep their probabilities within a double; those that do not take the logarithms.
+LINEAR_BYTES = 40
 NAMES = ["row", "id", "held_out", "word", "n", "known", "base", "score"]
 
 
@@ -69,25 +71,28 @@ class Lattice:
         size = 1 << self.bits
         self.slot_hash = np.zeros(size, np.uint64)
         self.slot_piece = np.full(size, len(pieces), np.int64)
-        self.probes = 1
         for i, h in enumerate(self.hashes.tolist()):
-            at, step = h >> (64 - self.bits), 1
+            at = h >> (64 - self.bits)
             while self.slot_piece[at] != len(pieces):
-                at, step = (at + 1) & (size - 1), step + 1
+                at = (at + 1) & (size - 1)
             self.slot_hash[at], self.slot_piece[at] = h, i
-            self.probes = max(self.probes, step)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers, or the number of pieces where there is none."""
         none = len(self.log_p) - 1
         at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.where(self.slot_hash[at] == hashes, self.slot_piece[at], none)
-        for _ in range(self.probes - 1):
-            open_ = np.flatnonzero(out == none)
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) & (len(self.slot_hash) - 1)
-            out[open_] = np.where(self.slot_hash[at[open_]] == hashes[open_], self.slot_piece[at[open_]], none)
+        held = self.slot_piece[at]
+        out = np.where(self.slot_hash[at] == hashes, held, none)
+        # An empty slot ends a search; only collisions look further.
+        rest = np.flatnonzero((out == none) & (held != none))
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & (len(self.slot_hash) - 1)
+            held = self.slot_piece[at]
+            hit = (self.slot_hash[at] == hashes[rest]) & (held != none)
+            out[rest[hit]] = held[hit]
+            go = ~hit & (held != none)
+            rest, at = rest[go], at[go]
         return out
 
     def _spans(self, words: np.ndarray):
@@ -119,8 +124,29 @@ class Lattice:
         alpha[at] = _log_sum(parts)
         return (alpha, spans) if keep else alpha[length]
 
+    def _expected_linear(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
+        """The same for words too short to underflow, without logarithms."""
+        n, length = words.shape
+        p, none = np.exp(self.log_p), len(self.log_p) - 1
+        spans = [(start, end, piece) for start, end, piece in self._spans(words) if (piece < none).any()]
+        alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
+        alpha[0] = beta[length] = 1.0
+        for start, end, piece in spans:  # ends ascend
+            alpha[end] += alpha[start] * p[piece]
+        for start, end, piece in reversed(spans):
+            beta[start] += p[piece] * beta[end]
+        low = alpha[length] < 1e-250
+        weight = np.where(low, 0.0, counts / np.where(low, 1.0, alpha[length]))
+        for start, end, piece in spans:
+            total += np.bincount(piece, alpha[start] * p[piece] * beta[end] * weight, len(total) + 1)[: len(total)]
+        if low.any():
+            self._expected_log(words[low], counts[low], total)
+
     def expected(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
         """Adds the expected piece counts of the words, seen ``counts`` times, to ``total``."""
+        (self._expected_linear if words.shape[1] <= LINEAR_BYTES else self._expected_log)(words, counts, total)
+
+    def _expected_log(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
         alpha, spans = self.forward(words, True)
         length = words.shape[1]
         beta = np.full_like(alpha, -np.inf)
