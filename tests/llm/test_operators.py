@@ -211,6 +211,15 @@ def test_suffix_dedup(docs, plain, nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = ("".join(rng.choice(list("abcdefgh "), 300)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a), (2, b + a), (2, b + a), (None, c), (None, c), (3, c), (4, a[:150] + a[:150]), (4, a[:150] + a[:150])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    # The first document of each text keeps it, in every copy of its row.
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in got) == [(-1, 0), (-1, 0), (1, 0), (1, 0), (1, 0), (2, 300), (2, 300), (3, 300), (4, 300), (4, 300)]
+
+
 def test_levels_stay_geometric():
     rng = np.random.default_rng(1)
     family, seen = suffix_dedup.Levels(), set()

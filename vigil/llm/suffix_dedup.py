@@ -209,8 +209,18 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     return found.mapInArrow(match, SPANS)
 
 
+def _fresh(rows: pa.RecordBatch) -> np.ndarray:
+    """False where a place is that of the row before: rows that repeat id and text send theirs once each, but are one document."""
+    ids = rows.column("id")
+    order = [ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), rows.column("name").to_numpy(), rows.column("start").to_numpy()]
+    out = np.ones(rows.num_rows, bool)
+    out[1:] = np.any([x[1:] != x[:-1] for x in order], axis=0)
+    return out
+
+
 def _matches(rows: pa.RecordBatch, length: int):
     """Spans of one partition's places, which come in document order."""
+    rows = rows.filter(pa.array(_fresh(rows)))
     h, start, n = (rows.column(x).to_numpy() for x in ("h", "start", "n"))
     values = rows.column("bytes").cast(pa.large_binary())
     _, where, raw = values.buffers()
