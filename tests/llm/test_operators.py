@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -220,6 +221,18 @@ def test_suffix_dedup_repeated_rows(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed) for r in got) == [(-1, 0), (-1, 0), (1, 0), (1, 0), (1, 0), (2, 300), (2, 300), (3, 300), (4, 300), (4, 300)]
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_dedup_hot_anchors(docs, hot):
+    covered = lambda df: {(r.id, r.name, p) for r in df.collect() for p in range(r.start, r.stop)}
+    assert covered(suffix_dedup.repeated_spans(docs, hot=hot)) == covered(suffix_dedup.repeated_spans(docs, hot=10**9))
+
+
+def test_suffix_dedup_keeps_places_beyond_two_gigabytes():
+    big = pa.array([b"x" * (150 << 20)], pa.binary())
+    held = [pa.RecordBatch.from_arrays([pa.array([i]), big], names=["h", "bytes"]) for i in range(15)]
+    assert suffix_dedup._one_batch(held).column("h").to_pylist() == list(range(15))
+
+
 def test_levels_stay_geometric():
     rng = np.random.default_rng(1)
     family, seen = suffix_dedup.Levels(), set()

@@ -6,6 +6,9 @@ leftmost smallest gram hash, so equal windows have equal anchors, and an anchor
 windows without a repeat.  A bit table of the anchors found twice or more (of fixed size, so a false positive costs
 time alone) picks the rest, which are dealt out by anchor.
 
+An anchor found very often is not dealt whole: each of its windows is dealt by its own hash, so that equal windows meet
+and different ones spread.  The number of partitions follows the number of places.
+
 In each partition the windows' suffixes come in document order in batches.  A batch is sorted into a suffix array, scanned
 in merge order against the arrays of earlier batches for matches of ``length`` bytes, and its new suffixes become the
 smallest level; levels of like size merge, so a suffix is moved a logarithmic number of times.
@@ -27,6 +30,14 @@ from vigil.llm.token_counts import _pieces
 POSITION_BITS = 31
 #: Suffixes of one batch.
 BATCH = 1 << 15
+#: Anchors found more often are dealt window by window; a place's suffixes take up to 7 KB.
+HOT = 8192
+#: Places of one partition, on average at most.
+PART_PLACES = 1 << 16
+#: Places of one Arrow batch, whose bytes have 32-bit offsets.
+PLACES_OUT = 1 << 15
+#: Places of hot anchors that are taken apart at a time.
+SPLIT = 1 << 10
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -73,6 +84,15 @@ def gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return data[np.cumsum(at)], offsets
 
 
+def _held(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    at = np.searchsorted(ordered, values)
+    at[at == len(ordered)] = 0
+    return ordered[at] == values
+
+
 class Levels:
     """A family of sorted arrays of distinct suffixes, each at least twice as large as the next."""
 
@@ -83,9 +103,7 @@ class Levels:
         """Which of the sorted suffixes some level holds."""
         out = np.zeros(len(suffixes), bool)
         for level in self.levels:
-            at = np.searchsorted(level, suffixes)
-            at[at == len(level)] = 0
-            out |= level[at] == suffixes
+            out |= _held(level, suffixes)
         return out
 
     def add(self, suffixes: np.ndarray) -> None:
@@ -112,34 +130,48 @@ class Levels:
 PAGE_BITS = 18
 
 
-def _bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits bits with the bits of the hashes set, filled page by page in tasks."""
+def _bit_table(hashes: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(a table of 2**bits bits with the bits of the hashes set, the sorted hashes found over ``hot`` times, the sum of the counts).
+
+    Tasks fill the table page by page.
+    """
     low, words = PAGE_BITS, 1 << (PAGE_BITS - 6)
     # Anchors are minima, so their high bits crowd near zero; the low bits are even.
-    slots = hashes.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"))
+    slots = hashes.select(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("slot"), "n", F.when(F.col("n") > hot, F.col("h")).alias("hot"))
 
     def fill(batches):
         pages: dict[int, np.ndarray] = {}
+        often, total = [], 0
         for batch in batches:
+            often.append(batch.column(2).drop_null().to_numpy())
+            total += int(batch.column(1).to_numpy().sum())
             slot = np.sort(batch.column(0).to_numpy())
             for own in np.split(slot, np.flatnonzero(np.diff(slot >> low)) + 1):
                 if len(own):
                     page = pages.setdefault(int(own[0] >> low), np.zeros(words, np.uint64))
                     at = own & ((1 << low) - 1)
                     np.bitwise_or.at(page, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array([x.tobytes() for x in pages.values()], pa.binary())], names=["page", "bits"])
+        # Page -1 has the hot hashes and the sum of counts.
+        last = np.concatenate([*often, [total]]).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([*pages, -1], pa.int64()), pa.array([*(x.tobytes() for x in pages.values()), last.tobytes()], pa.binary())], names=["page", "bits"])
 
     table = np.zeros(1 << max(bits - 6, 0), np.uint64)
+    often, total = [np.zeros(0, np.int64)], 0
     for row in slots.repartition(F.shiftright("slot", low)).mapInArrow(fill, "page long, bits binary").toLocalIterator():
+        if row.page < 0:
+            *own, n = np.split(np.frombuffer(row.bits, np.int64), [-1])
+            often += own
+            total += int(n[0])
+            continue
         table[row.page * words : (row.page + 1) * words] = np.frombuffer(row.bits, np.uint64)
-    return table
+    return table, np.sort(np.concatenate(often).view(np.uint64)), total
 
 
 PLACES = "h long, id long, name long, start long, n long, bytes binary"
 SPANS = "id long, name long, start long, stop long"
 
 
-def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, table_bits: int = 27) -> DataFrame:
+def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = 100, gram: int = 32, table_bits: int = 27, hot: int = HOT) -> DataFrame:
     """id, name (hash of the text), start, stop: byte spans to remove, which may touch or overlap."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("name"), F.col(text).alias("text"))
@@ -151,11 +183,27 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     seen = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    table = spark.sparkContext.broadcast(_bit_table(seen, table_bits))
+    bits, often, total = _bit_table(seen, table_bits, hot)
+    table = spark.sparkContext.broadcast((bits, often))
 
     def places(batches):
-        bits = table.value
+        bits, often = table.value
         first: dict[int, tuple] = {}
+
+        def repeats(contexts: np.ndarray, key: list[tuple]) -> np.ndarray:
+            """Contexts that this task has seen at an earlier place: the map-side combine of copies."""
+            again = np.zeros(len(key), bool)
+            for i, c in enumerate(contexts.tolist()):
+                if c not in first:
+                    first[c] = key[i]
+                elif first[c] < key[i]:
+                    again[i] = True
+                elif key[i] < first[c]:
+                    first[c] = key[i]
+            if len(first) > 300_000:
+                first.clear()
+            return again
+
         for batch in batches:
             ids, names = batch.column(0), batch.column(1).to_numpy()
             order = np.where(ids.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, ids.fill_null(0).to_numpy())
@@ -164,36 +212,42 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 slot = h & np.uint64((1 << table_bits) - 1)
                 keep = np.flatnonzero(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
                 h, start, stop, own = h[keep], start[keep], stop[keep], own[keep]
-                contexts = tb.span_hashes(data, start, stop - 1 + length)
-                key = list(zip(order[lo + own].tolist(), names[lo + own].tolist(), (start - offsets[own]).tolist()))
-                again = np.zeros(len(keep), bool)
-                # Equal contexts that this task has seen at an earlier place go at once: the map-side combine of copies.
-                for i, c in enumerate(contexts.tolist()):
-                    if c not in first:
-                        first[c] = key[i]
-                    elif first[c] < key[i]:
-                        again[i] = True
-                    elif key[i] < first[c]:
-                        first[c] = key[i]
-                if len(first) > 300_000:
-                    first.clear()
-                left = np.flatnonzero(~again)
-                raw, at = gather(data, start[left], stop[left] - 1 + length - start[left])
-                sizes = np.zeros(len(keep), np.int64)
-                sizes[left] = np.diff(at)
-                ends = np.zeros(len(keep) + 1, np.int64)
-                np.cumsum(sizes, out=ends[1:])
-                value = pa.Array.from_buffers(pa.binary(), len(keep), [pa.py_buffer(np.packbits(~again, bitorder="little").tobytes()),
-                                              pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h.view(np.int64)), ids.take(pa.array(lo + own)), pa.array(names[lo + own]),
-                    pa.array(start - offsets[own]), pa.array(stop - start), value], names=["h", "id", "name", "start", "n", "bytes"])
+
+                def keys(own: np.ndarray, start: np.ndarray) -> list[tuple]:
+                    return list(zip(order[lo + own].tolist(), names[lo + own].tolist(), (start - offsets[own]).tolist()))
+
+                again = repeats(tb.span_hashes(data, start, stop - 1 + length), keys(own, start))
+                split = ~again & _held(often, h)
+                for part in np.array_split(np.flatnonzero(~split), -(-len(h) // PLACES_OUT) or 1):
+                    yield place_rows(h[part], start[part], stop[part], own[part], again[part], lo, ids, names, data, offsets)
+                # Each window of a hot anchor is a place of its own, with its hash for an anchor.
+                for at in range(0, int(split.sum()), SPLIT):
+                    part = np.flatnonzero(split)[at : at + SPLIT]
+                    n = stop[part] - start[part]
+                    begin = np.repeat(start[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    owner = np.repeat(own[part], n)
+                    window = tb.span_hashes(data, begin, begin + length)
+                    known = repeats(window, keys(owner, begin))
+                    yield place_rows(window, begin, begin + 1, owner, known, lo, ids, names, data, offsets)
+
+    def place_rows(h, start, stop, own, again, lo, ids, names, data, offsets):
+        left = np.flatnonzero(~again)
+        raw, at = gather(data, start[left], stop[left] - 1 + length - start[left])
+        sizes = np.zeros(len(h), np.int64)
+        sizes[left] = np.diff(at)
+        ends = np.zeros(len(h) + 1, np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        value = pa.Array.from_buffers(pa.binary(), len(h), [pa.py_buffer(np.packbits(~again, bitorder="little").tobytes()),
+                                      pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+        return pa.RecordBatch.from_arrays([
+            pa.array(h.view(np.int64)), ids.take(pa.array(lo + own)), pa.array(names[lo + own]),
+            pa.array(start - offsets[own]), pa.array(stop - start), value], names=["h", "id", "name", "start", "n", "bytes"])
 
     # A place without bytes is decided already; it travels with the others, spread by its own position.
     found = rows.mapInArrow(places, PLACES)
     deal = F.when(F.col("bytes").isNull(), F.xxhash64("name", "start")).otherwise(F.col("h"))
     # A task holds its partition's suffixes, hence more and smaller partitions than a shuffle has by default.
-    parts = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_PLACES))
     found = found.repartition(parts, deal).sortWithinPartitions("id", "name", "start")
 
     def match(batches):
@@ -204,11 +258,19 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             yield pa.RecordBatch.from_arrays([done.column("id"), done.column("name"), done.column("start"), pa.array(start + n - 1 + length)], names=["id", "name", "start", "stop"])
             held.append(batch.filter(batch.column("bytes").is_valid()))
         if sum(b.num_rows for b in held):
-            yield from _matches(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+            yield from _matches(_one_batch(held), length)
 
     return found.mapInArrow(match, SPANS)
 
 
+def _one_batch(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """All rows in one batch; 64-bit offsets, as 32-bit ones would cut it at 2 GB."""
+    table = pa.Table.from_batches(batches)
+    at = table.schema.get_field_index("bytes")
+    (out,) = table.set_column(at, "bytes", table.column(at).cast(pa.large_binary())).combine_chunks().to_batches()
+    return out
+
+
 def _fresh(rows: pa.RecordBatch) -> np.ndarray:
     """False where a place is that of the row before: rows that repeat id and text send theirs once each, but are one document."""
     ids = rows.column("id")
@@ -222,7 +284,7 @@ def _matches(rows: pa.RecordBatch, length: int):
     """Spans of one partition's places, which come in document order."""
     rows = rows.filter(pa.array(_fresh(rows)))
     h, start, n = (rows.column(x).to_numpy() for x in ("h", "start", "n"))
-    values = rows.column("bytes").cast(pa.large_binary())
+    values = rows.column("bytes")
     _, where, raw = values.buffers()
     offsets = np.frombuffer(where, np.int64)[values.offset : values.offset + len(values) + 1]
     data = np.frombuffer(raw, np.uint8)
