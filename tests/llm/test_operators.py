@@ -68,6 +68,21 @@ def test_html_hides_what_a_browser_hides():
     assert html_text.render(page)[0] == "s\nb" or html_text.render(page)[0] == "s\n\nb"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("a<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs><g><circle r=1 /><text x=1>One</text><text>T<tspan>wo</tspan></text></g>no</svg>b", "a One Two b"),
+    ("<svg><path d=x><text><![CDATA[1 > 0]]></text><foreignObject><p>in</p></foreignObject></svg>after", "1 > 0\n\nin\n\nafter"),
+    ("<svg><style/><text display=none>no</text><g><text>A</text><p>out</p>", "A\n\nout"),
+    ("x = <math><semantics><mfrac><mn>1</mn><mi>n</mi></mfrac><annotation>no</annotation></semantics><mspace/><mo>+</mo><mtext>is <b>so</b></mtext></math>!", "x = 1 n +is so!"),
+    ("<head><title>T</title>Hello <b>x</b>", "Hello x"),
+    ("<head> <meta charset=utf-8>\n<title>T</title> <body>y", "y"),
+    (" ".join(f"<input type={t} value={t}1>" for t in "email number search tel url date time month week datetime-local text submit odd".split()),
+     "email1 number1 search1 tel1 url1 date1 time1 month1 week1 datetime-local1 text1 submit1 odd1"),
+    ("".join(f"<input type={t} value=no>" for t in "hidden checkbox radio password file image color range".split()), ""),
+])
+def test_html_shows_what_a_browser_shows(page, want):
+    assert html_text.render(page)[0] == want
+
+
 def test_toxicity_learns_without_the_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     out = toxicity.op2_toxicity(spark, "/root/testdata/sf0.01").toPandas()

@@ -3,7 +3,8 @@
 A tree builder with implied tags (an ``li`` ends an open ``li``, a block ends an open ``p``, cells get their row) feeds a
 renderer that emits all visible text: scripts, heads, hidden elements and closed details are left out; blocks start lines,
 paragraphs, headings, lists and tables stand apart by a blank line, list items carry their marks and indents, and the
-cells of a table are aligned in columns.  Nothing recurses over the depth of the page.
+cells of a table are aligned in columns.  Of SVG the text elements and embedded HTML are shown, of MathML all but
+annotations and phantoms; of inputs the values of all types that show theirs.  Nothing recurses over the depth of the page.
 """
 
 from __future__ import annotations
@@ -25,7 +26,18 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math noembed noframes datalist title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas noembed noframes datalist title meta link".split())
+#: Elements of SVG and MathML that are not rendered where they stand.
+FOREIGN_UNSEEN = frozenset("script style title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter "
+                           "annotation annotation-xml mphantom".split())
+#: HTML inside SVG and MathML stands in these; elsewhere the tags of BREAKOUT end the foreign element.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                     "ruby s small span strong strike sub sup table tt u ul var".split())
+#: The parts of these formulas stand above, below or beside each other; in the text a space sets them apart.
+PARTS = frozenset("mfrac msup msub msubsup munder mover munderover mroot mmultiscripts mtr mtable mlabeledtr".split())
+#: Inputs without a text of their own; all other types, unknown ones too, show their value.
+VALUELESS = frozenset("hidden checkbox radio password file image color range".split())
 HEAD_ONLY = frozenset("title meta link base style script template noscript".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset form details".split())
 BLOCK = APART | frozenset("html body div section article aside header footer nav main address li dt dd figcaption caption summary legend "
@@ -47,10 +59,10 @@ TABLE_DEPTH = 20
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -65,6 +77,15 @@ class _Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
+        self.roots: list[tuple[int, Node]] = []
+
+    def foreign(self) -> bool:
+        """Whether the next element is one of SVG or MathML."""
+        while self.roots and (self.roots[-1][0] >= len(self.open) or self.open[self.roots[-1][0]] is not self.roots[-1][1]):
+            self.roots.pop()
+        if not self.roots:
+            return False
+        return not any(x.foreign and x.tag in INTEGRATION for x in self.open[self.roots[-1][0] :])
 
     def _close(self, tags, until=(), scope=SCOPE) -> None:
         """Ends the innermost open element of ``tags`` and what is inside it, unless one of ``until`` or ``scope`` comes first."""
@@ -77,9 +98,19 @@ class _Builder:
                 return
 
     def text(self, value: str) -> None:
+        if self.open[-1].tag == "head" and value.strip(" \t\n\r\f"):
+            del self.open[-1:]
         self.open[-1].children.append(value)
 
     def start(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
+        foreign = self.foreign()
+        if foreign and tag in BREAKOUT:
+            while self.foreign():
+                del self.open[self.roots[-1][0] :]
+            foreign = False
+        if foreign:
+            self._enter(tag, attributes, True, closed)
+            return
         if tag in ("html", "body"):
             return
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
@@ -113,9 +144,14 @@ class _Builder:
                     self._push(Node("tr", {}))
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.open[-1].tag):
             del self.open[-1:]
-        node = Node(tag, attributes)
+        self._enter(tag, attributes, tag in ("svg", "math"), closed)
+
+    def _enter(self, tag: str, attributes: dict[str, str], foreign: bool, closed: bool) -> None:
+        node = Node(tag, attributes, foreign)
         self.open[-1].children.append(node)
-        if tag not in VOID and not closed:
+        if not closed and (foreign or tag not in VOID):
+            if foreign and tag in ("svg", "math"):
+                self.roots.append((len(self.open), node))
             self.open.append(node)
 
     def _push(self, node: Node) -> None:
@@ -147,13 +183,18 @@ def parse(html: str) -> Node:
             builder.text(unescape(html[at : m.start()]))
         at = m.end()
         if m[2] is None:
+            if html.startswith("<![CDATA[", m.start()) and builder.foreign():
+                stop = html.find("]]>", m.start())
+                builder.text(html[m.start() + 9 : stop if stop >= 0 else len(html)])
+                at = stop + 3 if stop >= 0 else len(html)
             continue
         tag = m[2].lower()
         if m[1]:
             builder.end(tag)
             continue
-        builder.start(tag, _attributes(m[3]), m[3].endswith("/") and tag in ("svg", "math", "path"))
-        if tag in RAW:
+        closed = m[3].endswith("/") and (tag in ("svg", "math", "path") or builder.foreign())
+        builder.start(tag, _attributes(m[3]), closed)
+        if tag in RAW and not closed:
             stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
             raw = html[at : stop.start() if stop else len(html)]
             builder.text(unescape(raw) if tag in ("textarea", "title") else raw)
@@ -163,7 +204,10 @@ def parse(html: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
+    if node.foreign:
+        if node.tag in FOREIGN_UNSEEN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse") or "hidden" in a:
+            return True
+    elif node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
     return "style" in a and HIDING.search(a["style"]) is not None
 
@@ -362,6 +406,13 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
         if hidden(node):
             continue
         tag, a = node.tag, node.attributes
+        if node.foreign:
+            # Labels of a picture and parts of a formula are set apart by a space.
+            inner = [x for y in _labels(node) for x in (" ", y)] + [" "] if tag == "svg" else node.children
+            if tag in PARTS:
+                inner = [x for y in inner for x in ((y,) if isinstance(y, str) else (y, " "))]
+            todo.extend(("enter", x) for x in reversed(inner))
+            continue
         if tag == "br":
             if box.now:
                 box.line()
@@ -371,7 +422,7 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
         if tag == "wbr":
             continue
         if tag == "input":
-            if a.get("type", "text").lower() in ("submit", "button", "reset", "text") and a.get("value"):
+            if a.get("type", "text").strip().lower() not in VALUELESS and a.get("value"):
                 box.text(a["value"])
             continue
         if tag in VOID and tag != "hr":
@@ -426,6 +477,20 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
     return box.done(), seen
 
 
+def _labels(svg: Node) -> list[Node]:
+    """The text elements and embedded HTML of a picture, in order."""
+    out, todo = [], list(reversed(svg.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or hidden(x):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            out.append(x)
+        else:
+            todo.extend(reversed(x.children))
+    return out
+
+
 def _inside(node: Node) -> list[Node]:
     """Elements below a node, in order."""
     out, todo = [], list(reversed(node.children))
