@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from vigil.functions.storage import cut
+from vigil.functions.storage import cut, new_path
 from vigil.llm import decontamination, mixing, quality_rules
 from vigil.llm.token_counts import library
 
@@ -86,6 +86,20 @@ def test_token_store_holds_the_mix(stages):
     assert sorted(map(tuple, stages[5].collect())) == sorted(want)
 
 
+def test_rows_that_share_an_id_are_judged_alone(spark, stages):
+    item = " ".join(f"bench{k}" for k in range(40))
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (None, c), (None, c + " end"), (3, item), (3, b + " own"), (None, item)]
+    docs = cut(spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], stages[0].schema))
+    got = [(r.doc_id, r.text[:6]) for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()]
+    assert Counter(got) == Counter([(1, a[:6]), (1, b[:6]), (None, c[:6]), (3, item[:6])])
+    items = spark.createDataFrame([(1, item)], spark.read.parquet(f"{DIR}/benchmark.parquet").schema)
+    folder = new_path(spark, "bench")
+    items.write.parquet(f"{folder}/benchmark.parquet")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, folder).collect()]
+    assert Counter(got) == Counter((i, t) for i, t in rows if t != item)
+
+
 def test_stages_take_empty_tables(spark, stages):
     docs = stages[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
