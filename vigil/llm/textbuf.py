@@ -11,10 +11,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text in one numpy pass.
 SLICE_BYTES = 2 << 20
 
+#: Bytes of rows in one Arrow batch, and the setting that bounds them.
+BATCH_BYTES = 8 << 20
+BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -99,3 +104,40 @@ def per_text(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[firsts[1:]] - total[firsts[:-1]]
+
+
+def panels(data: np.ndarray, at: int, end: int, inside: np.ndarray = NOT_SPACE) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``SLICE_BYTES`` of one text that end between words, however long a word is."""
+    while at < end:
+        to = min(end, at + SLICE_BYTES)
+        while to < end and inside[data[to]] and inside[data[to - 1]]:  # a word goes on: end the panel at its next gap
+            gap = np.flatnonzero(~inside[data[to : to + SLICE_BYTES]])
+            to = to + int(gap[0]) if len(gap) else min(end, to + SLICE_BYTES)
+        yield at, to
+        at = to
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and each text's first word (n + 1).
+
+    A buffer longer than a slice (one long text) is read in panels, so only its hashes are whole.
+    """
+    if len(data) <= 2 * SLICE_BYTES:
+        starts, ends, firsts = runs(inside[data], offsets)
+        return span_hashes(data, starts, ends), firsts
+    parts, counts = [], np.zeros(len(offsets), np.int64)
+    for k in range(len(offsets) - 1):
+        for at, to in panels(data, int(offsets[k]), int(offsets[k + 1]), inside):
+            panel = data[at:to]
+            starts, ends, _ = runs(inside[panel], np.array([0, to - at]))
+            parts.append(span_hashes(panel, starts, ends))
+            counts[k + 1] += len(starts)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.cumsum(counts)
+
+
+def mapped(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by ``BATCH_BYTES`` as well as by rows; a smaller bound of the session stays."""
+    spark = rows.sparkSession
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BOUND)) > BATCH_BYTES:
+        spark.conf.set(BATCH_BOUND, BATCH_BYTES)
+    return rows.mapInArrow(run, schema)
