@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.storage import cut
+from vigil.functions.storage import cut, small
 from vigil.llm import textbuf as tb
 from vigil.llm.toxicity import _lbfgs
 
@@ -362,7 +362,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", may_learn: Co
     # Distinct texts by hash; a language's smallest hashes lie below a bound that follows from its count.
     texts = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
     texts = cut(texts, "language_texts")
-    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes, _ = small(cut(texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language_sizes"), 10_000)
     place = (F.shiftrightunsigned(F.col("h"), 1).cast("double") / F.lit(2.0**63))
     near = texts.join(sizes, "lang").where(place * F.col("n") <= F.lit(4.0 * texts_each + 50))
     order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(F.col("h"), 1), "h")
