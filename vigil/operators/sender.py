@@ -3,7 +3,8 @@
 History of an event = same tenant and account, earlier than the event, at most ``lookback_days``
 old, without a limit on its rows.  A history row r therefore serves exactly the events with
 ``r.ts < t <= r._exp``, where ``_exp`` is its age limit.  Sliding counts are differences of growing sums, so
-each costs O(1) per row; only medians and calendar patterns collect the history itself.
+each costs O(1) per row; only the last 72 hours are ever listed.  What depends on trust in earlier events, and all
+medians and calendar patterns, comes from one sweep of the account (``learned``).
 
 All windows share one exchange on (tenant, account, slice); finer partition keys only re-sort.
 """
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import (
-    DAY_US, HOUR_US, MINUTE_US, clamp, flag, haversine_km, median_sorted, rnd,
+    DAY_US, HOUR_US, MINUTE_US, clamp, flag, haversine_km, rnd,
 )
+from vigil.operators.learned import learned_history
 from vigil.operators.timeline import UNB, time_slices
 
 KEYS = ["tenant_id", "account_id", "_slice"]
@@ -27,11 +29,12 @@ def is_txn() -> Column:
     return F.col("event_type").isin(config.TRANSACTION_TYPES)
 
 
+def is_learnable() -> Column:
+    return F.col("success") & ~F.col("event_type").isin(config.UNTRUSTED_TYPES)
+
+
 def is_trusted() -> Column:
-    return (
-        F.col("profile_eligible") & F.col("success")
-        & ~F.col("event_type").isin(config.UNTRUSTED_TYPES)
-    )
+    return F.col("profile_eligible") & is_learnable()
 
 
 def _hazard_code() -> Column:
@@ -72,107 +75,34 @@ class History:
     def count(self, condition: Column, window_us: int | None = None) -> Column:
         return self.total(condition.cast("long"), window_us)
 
-    def last(self, value: Column, condition: Column | None = None) -> Column:
+    def last(self, value: Column) -> Column:
         """Latest value before t (also when it has expired meanwhile)."""
-        return F.last(value if condition is None else F.when(condition, value), True).over(self.before)
+        return F.last(value, True).over(self.before)
 
-    def rows(self, value: Column, condition: Column, window_us: int | None = None) -> Column:
-        """Array of history values inside the window, oldest first."""
-        window_us = window_us or self.lookback
+    def rows(self, value: Column, condition: Column, window_us: int) -> Column:
+        """Array of the values of the last hours, oldest first."""
         item = F.when(condition, F.struct(value.alias("v")))
         listed = F.collect_list(item).over(self.part.rangeBetween(-window_us, -1))
         return F.transform(listed, lambda r: r["v"])
 
 
-def _robust(name: str) -> list[Column]:
-    """Median, MAD and size of the array column ``name``, from its sorted copy."""
-    centre = median_sorted(F.sort_array(name))
-    mad = median_sorted(
-        F.sort_array(F.transform(name, lambda v: F.abs(v - F.col(f"{name}_median"))))
-    )
-    return [centre, mad]
-
-
-def _reduce_array(df: DataFrame, name: str) -> DataFrame:
-    centre, mad = _robust(name)
-    return (
-        df.withColumn(f"{name}_median", centre)
-        .withColumn(f"{name}_mad", F.coalesce(mad, F.lit(0.0)))
-        .withColumn(f"{name}_n", F.size(name))
-        .drop(name)
-    )
-
-
-def account_history(
-    events: DataFrame, settings: Settings = DEFAULTS
-) -> DataFrame:
-    """Events with the raw history quantities (prefix ``h_``) that the features read."""
+def window_history(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Events with the history quantities (prefix ``h_``) that no trust in earlier events changes."""
     lookback = settings.lookback_days * DAY_US
     base = time_slices(events, "ts_us", lookback)
     order = Window.partitionBy(*KEYS).orderBy("ts_us", "event_id")
     base = base.select(
         "*",
         # Evaluated once here: a window frame re-reads its input columns for every row it covers.
-        is_trusted().alias("_tr"), is_txn().alias("_tx"),
-        F.hour("occurred_at").alias("_hour"), F.dayofmonth("occurred_at").alias("_day"),
-        (F.year("occurred_at") * 12 + F.month("occurred_at")).alias("_month"),
-        _hazard_code().alias("_hazard"), _sim_swap().alias("_swap"),
-        F.when((F.col("interaction_ms") > 0) & (F.col("menu_depth") > 0),
-               F.col("interaction_ms") / F.col("menu_depth")).alias("_speed"),
+        is_txn().alias("_tx"), _hazard_code().alias("_hazard"), _sim_swap().alias("_swap"),
         F.lag("channel").over(order).alias("_lag_channel"),
         F.lead("channel").over(order).alias("_lead_channel"),
     )
     base = base.withColumn("_exp", F.col("ts_us") + F.lit(lookback))
-    tr, tx = F.col("_tr"), F.col("_tx")
-
-    for key, name, seen in [
-        ("recipient_id", "h_recipient", tr & tx), ("device_id", "h_device", tr),
-        ("sim_id", "h_sim", tr), ("ip_prefix", "h_ip", tr),
-    ]:
-        base = base.withColumn(name, History(lookback, key).count(seen))
-    by_recipient = History(lookback, "recipient_id")
-    base = base.withColumn(
-        "h_same_recipient",
-        by_recipient.rows(
-            F.struct("amount", F.col("_day").alias("day"), F.col("_month").alias("month")),
-            tx & F.col("recipient_id").isNotNull() & (F.col("amount") > 0),
-        ),
-    )
-    similar = F.filter(
-        "h_same_recipient",
-        lambda r: (F.abs(r["day"] - F.col("_day")) <= 3)
-        & (F.abs(r["amount"] - F.col("amount")) / F.greatest(F.col("amount"), F.lit(1.0)) <= 0.20),
-    )
-    base = base.withColumn(
-        "h_similar_months", F.size(F.array_distinct(F.transform(similar, lambda r: r["month"])))
-    ).drop("h_same_recipient")
-
-    base = base.withColumn(
-        "h_navigation", History(lookback, "channel", "navigation_signature").count(tr)
-    )
-
+    tx = F.col("_tx")
     chan = History(lookback, "channel")
-    base = base.select(
-        "*",
-        chan.count(tr).alias("h_channel"),
-        *[
-            chan.count(F.coalesce(F.col("_lag_channel") == c, F.lit(False))).alias(f"h_from_{c}")
-            for c in config.CHANNELS
-        ],
-        chan.count(tr & (F.col("input_method") != "unknown")).alias("h_input"),
-        chan.count(tr & F.col("input_method").isin("pasted", "mixed")).alias("h_pasted"),
-    )
-    base = base.select(
-        "*",
-        chan.rows(F.col("_speed"), tr & F.col("_speed").isNotNull()).alias("h_speed"),
-        chan.rows(F.col("keystroke_interval_ms"), tr & F.col("keystroke_interval_ms").isNotNull())
-        .alias("h_typing"),
-        chan.rows(F.col("device_tilt_variance"), tr & F.col("device_tilt_variance").isNotNull())
-        .alias("h_tilt"),
-    )
-    for name in ("h_speed", "h_typing", "h_tilt"):
-        base = _reduce_array(base, name)
-
+    base = base.select("*", *[
+        chan.count(F.coalesce(F.col("_lag_channel") == c, F.lit(False))).alias(f"h_from_{c}") for c in config.CHANNELS])
     acct = History(lookback)
     kind = F.col("event_type")
     # Straddling channel pair: its left row is the newest expired row, its right row the oldest
@@ -183,10 +113,6 @@ def account_history(
     base = base.select(
         "*",
         acct.count(F.lit(True)).alias("h_events"),
-        acct.count(tr & tx).alias("h_txns"),
-        acct.count(tr & tx & F.col("recipient_id").isNotNull()).alias("h_recipient_total"),
-        acct.count(tr & F.col("device_id").isNotNull()).alias("h_device_total"),
-        *[acct.count(tr & (F.col("channel") == c)).alias(f"h_channel_{c}") for c in config.CHANNELS],
         acct.count(tx, 5 * MINUTE_US).alias("h_txn_5m"),
         acct.count(tx, HOUR_US).alias("h_txn_1h"),
         acct.count(kind == "failed_login", 24 * HOUR_US).alias("h_failed_24h"),
@@ -194,86 +120,50 @@ def account_history(
         acct.last(F.struct(F.col("_exp").alias("exp"), F.col("channel").alias("channel")))
         .alias("h_previous"),
         expired.alias("h_straddle"),
-        acct.last(
-            F.struct(F.col("_exp").alias("exp"), F.col("ts_us").alias("at"), "latitude", "longitude"),
-            tr & F.col("latitude").isNotNull() & F.col("longitude").isNotNull(),
-        ).alias("h_location"),
         acct.rows(F.struct(F.col("ts_us").alias("at"), F.col("_hazard").alias("code"),
                            F.col("_swap").alias("swap")),
                   F.col("_hazard").isNotNull() | F.col("_swap"), 72 * HOUR_US)
         .alias("h_precursors"),
         acct.rows(F.struct(F.col("ts_us").alias("at"), "channel", "device_id"), F.lit(True),
                   30 * MINUTE_US).alias("h_recent"),
-        acct.rows(F.struct("channel", "device_id"), kind.isin(config.AUTH_TYPES), 24 * HOUR_US)
-        .alias("h_auth"),
-        acct.rows(F.col("device_id"), tr & F.col("device_id").isNotNull()).alias("h_devices"),
-        acct.rows(
-            F.struct(F.col("_tr").alias("trusted"), "amount", F.col("_hour").alias("hour"),
-                     F.col("_day").alias("day"), F.col("_month").alias("month")),
-            tx,
-        ).alias("h_txn_rows"),
     )
-    return base.filter(F.col("_home"))
+    home = base.filter(F.col("_home"))
+    return _reduce(home).drop("_slice", "_home", "_tx", "_hazard", "_swap", "_lag_channel", "_lead_channel", "_exp")
+
+
+def with_learned(history: DataFrame, events: DataFrame, settings: Settings = DEFAULTS, learned: DataFrame | None = None) -> DataFrame:
+    """``window_history`` rows of ``events`` with what their accounts have learned before them (``learned_history``)."""
+    trusted = is_trusted() if learned is None else is_learnable()
+    found = learned_history(events, trusted, is_txn(), settings, learned)
+    return history.join(found, ["tenant_id", "account_id", "event_id"])
+
+
+def account_history(events: DataFrame, settings: Settings = DEFAULTS, learned: DataFrame | None = None) -> DataFrame:
+    """Events with the raw history quantities (prefix ``h_``) that the features read."""
+    return with_learned(window_history(events, settings), events, settings, learned)
 
 
 def _reduce(history: DataFrame) -> DataFrame:
-    """Reduce the collected arrays to scalars, so that nothing wide travels further."""
+    """Reduce the short arrays (at most 72 hours) to scalars, so that nothing wide travels further."""
     own_channel = F.col("channel")
-    trusted = F.filter("h_txn_rows", lambda r: r["trusted"])
     df = history.select(
         "*",
-        F.transform(F.filter(trusted, lambda r: r["amount"] > 0), lambda r: r["amount"])
-        .alias("h_amount"),
-        F.transform(trusted, lambda r: r["hour"]).alias("_hours"),
-        F.size(F.array_distinct(F.transform("h_txn_rows", lambda r: r["month"]))).alias("h_months"),
-        F.array_min(
-            F.transform("h_txn_rows", lambda r: F.abs(r["day"] - F.col("_day")))
-        ).alias("h_nearest_day"),
         F.filter(
             "h_recent",
             lambda r: (r["channel"] != own_channel)
             & (r["at"] >= F.col("ts_us") - 15 * MINUTE_US),
         ).alias("_cross"),
         F.exists("h_recent", lambda r: r["channel"] == "app").alias("h_app_30m"),
-    ).drop("h_txn_rows", "h_recent")
-    df = _reduce_array(df, "h_amount")
-
-    # Five most frequent hours, ties by first occurrence (array_distinct keeps that order).
-    ranked = F.sort_array(
-        F.transform(
-            F.array_distinct("_hours"),
-            lambda hour, place: F.struct(
-                (-F.size(F.filter("_hours", lambda x: x == hour))).alias("n"),
-                place.alias("place"), hour.alias("hour"),
-            ),
-        )
-    )
-    hours = F.transform(F.slice(ranked, 1, 5), lambda r: r["hour"])
-    by_channel = F.create_map(
-        *[x for c in config.CHANNELS for x in (F.lit(c), F.col(f"h_channel_{c}"))]
-    )
-    enrolled = F.exists(
-        "h_auth",
-        lambda a: (a["channel"] != own_channel)
-        & (
-            (by_channel[a["channel"]] <= 1)
-            | (
-                a["device_id"].isNotNull()
-                & (F.size(F.filter("h_devices", lambda d: d == a["device_id"])) <= 1)
-            )
-        ),
-    )
+    ).drop("h_recent")
     cross_devices = F.filter(
         F.transform("_cross", lambda r: r["device_id"]), lambda d: d.isNotNull()
     )
     df = df.select(
         "*",
-        hours.alias("h_common_hours"),
-        F.coalesce(enrolled, F.lit(False)).alias("h_enrolled_24h"),
         F.size("_cross").alias("h_cross_15m"),
         ((F.size(cross_devices) > 0) & ~F.array_contains(cross_devices, F.col("device_id")))
         .alias("h_device_mismatch"),
-    ).drop("_hours", "_cross", "h_auth", "h_devices")
+    ).drop("_cross")
 
     def age(p: Column) -> Column:
         return (F.col("ts_us") - p["at"]) / F.lit(float(HOUR_US))
@@ -516,13 +406,18 @@ def sender_features(
     events: DataFrame,
     accounts: DataFrame | None = None,
     settings: Settings = DEFAULTS,
+    learned: DataFrame | None = None,
 ) -> DataFrame:
     """Events plus all sender features (6 decimals), risk-window state and precursors."""
-    df = _reduce(account_history(events, settings)).withColumn(
-        "history_confidence", _confidence())
+    return features_of(account_history(events, settings, learned), events.columns, accounts)
+
+
+def features_of(history: DataFrame, columns: list[str], accounts: DataFrame | None = None) -> DataFrame:
+    """``columns`` of ``account_history`` rows plus all sender features, risk-window state and precursors."""
+    df = history.withColumn("history_confidence", _confidence())
     computed = {**stateless_features(), **history_features()}
     df = df.select(
-        *events.columns, "history_confidence", "active_precursors",
+        *columns, "history_confidence", "active_precursors",
         F.col("h_hours_left").alias("hazard_hours_left"), F.col("h_events").alias("history_events"),
         *[rnd(expr).alias(name) for name, expr in computed.items()],
     ).withColumn("risk_window_state", risk_window_state(F.col("account_hazard_score")))

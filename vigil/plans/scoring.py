@@ -19,7 +19,7 @@ from vigil.operators.policy import decide, regret_used, safety_envelope
 from vigil.operators.scoring import (
     anomaly, customer_explanation, decision_confidence, evidence_summary, fuse, reason_assembly,
 )
-from vigil.operators.sender import sender_features
+from vigil.operators.sender import features_of, sender_features
 from vigil.operators.terminal import terminal_context, terminal_features
 from vigil.functions.storage import cut
 
@@ -55,7 +55,16 @@ def feature_table(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """One row per event: its columns, the 61 features and the 12 terminal features."""
-    df = sender_features(with_contexts(events, confirmed, settings), accounts, settings)
+    return all_features(sender_features(with_contexts(events, confirmed, settings), accounts, settings))
+
+
+def features_from(history: DataFrame, columns: list[str], accounts: DataFrame | None = None) -> DataFrame:
+    """The same table from stored ``account_history`` rows of events with their contexts (``columns``)."""
+    return all_features(features_of(history, columns, accounts))
+
+
+def all_features(df: DataFrame) -> DataFrame:
+    """Sender features with the network, reputation and terminal features after them."""
     has_recipient = F.col("recipient_id").isNotNull()
 
     def number(name: str):
@@ -79,18 +88,21 @@ def scored_events(
     consortium: DataFrame | None = None,
     sketches: DataFrame | None = None,
     settings: Settings = DEFAULTS,
+    campaign: DataFrame | None = None,
 ) -> DataFrame:
     """Scores and confidence from a stored feature table; everything that no decision feeds back into.
 
-    ``features`` is read several times, so store it first (``timeline.cut`` or a table).  A column
-    ``model_score`` and a column ``resilience_mode`` are used when present.
+    ``features`` is read several times, so store it first (``timeline.cut`` or a table).  The columns ``model_score``,
+    ``resilience_mode`` and ``dep_consortium`` (false: shared evidence is out of reach) are used when present.
+    ``campaign`` is a stored result of ``campaign_accounts`` over all events, when ``features`` are only some.
     """
     df = features
     if "model_score" not in df.columns:
         df = df.withColumn("model_score", F.lit(None).cast("double"))
     if "resilience_mode" not in df.columns:
         df = df.withColumn("resilience_mode", F.lit("online"))
-    accounts = cut(campaign_accounts(campaign_stages(features), settings))
+    accounts = cut(campaign_accounts(campaign_stages(features), settings)) if campaign is None else campaign
+    reachable = F.col("dep_consortium") if "dep_consortium" in features.columns else F.lit(True)
     df = with_campaign(df, settings, accounts)
     df = fuse(anomaly(df)).withColumn(
         "fused_score",
@@ -104,7 +116,7 @@ def scored_events(
             df.withColumn("recipient_token", keyed_token(F.col("recipient_id"), settings.recipient_key))
             .join(consortium.select("recipient_token", "consortium_score"), "recipient_token", "left")
             .drop("recipient_token")
-            .withColumn("consortium_score", F.coalesce("consortium_score", F.lit(0.0)))
+            .withColumn("consortium_score", F.when(reachable, F.coalesce("consortium_score", F.lit(0.0))).otherwise(0.0))
         )
     df = df.withColumn(
         "consortium_recipient_risk",
@@ -117,7 +129,7 @@ def scored_events(
                            "matched_indicators": "string"}.items():
             df = df.withColumn(name, F.lit(None).cast(kind))
     else:
-        indicators = event_indicators(with_campaign(features, settings, accounts))
+        indicators = event_indicators(with_campaign(features.where(reachable), settings, accounts))
         matches = cut(sketch_match(sketch_lookup(indicators, sketches, settings)))
         df = df.join(matches, "event_id", "left")
     df = decision_confidence(sketch_apply(df))
