@@ -3,7 +3,6 @@
 import random
 from datetime import timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from vigil import config
@@ -14,7 +13,7 @@ from vigil.operators import policy
 from vigil.operators.resilience import DEPS
 from vigil.operators.sender import account_history
 from vigil.plans import replay as R
-from vigil.plans.scoring import features_from, scored_events, with_contexts
+from vigil.plans.scoring import feature_table, features_from, scored_events, with_contexts
 
 from builders import NOW, TELCO, event, events
 
@@ -115,16 +114,16 @@ def test_events_pass_the_checks(spark):
     assert why[2][1:] == why[3][1:] == ("duplicate_event",) and "non_transaction_amount" in why[1]
 
 
-@pytest.mark.parametrize("limit", [0, 2])
-def test_budget_rounds_settle(spark, limit):
-    """A long row of interventions: the first ones use the budget up, later ones are eased until it opens again."""
-    rows = [event(f"ev-{i:03d}", "acct_1", NOW + timedelta(days=4 * i), event_type="transfer", amount=3900.0, available_balance_before=4000.0, recipient_id=f"m{i}", device_id=f"d{i}", sim_id="s")
-            for i in range(16)]
-    accounts = spark.createDataFrame([("acct_1", False, limit)], "account_id string, shared_device_allowed boolean, regret_limit_30d int")
-    done = R.replay(events(spark, rows), accounts)
-    got = done.decisions.orderBy("ts_us").select("ts_us", "action", "regret_used").collect()
+def test_budget_rounds_settle(spark):
+    """Long rows of interventions: the first ones use a budget up, later ones are eased until it opens again."""
+    rows = [event(f"ev-{a}-{i:03d}", f"acct_{a}", NOW + timedelta(days=4 * i), event_type="transfer", amount=float(1900 + 100 * i), available_balance_before=4000.0, recipient_id=f"m{i}", device_id=f"d{i}", sim_id="s")
+            for a in (0, 2) for i in range(16)]
+    accounts = spark.createDataFrame([("acct_0", False, 0), ("acct_2", False, 2)], "account_id string, shared_device_allowed boolean, regret_limit_30d int")
+    scored = cut(scored_events(cut(feature_table(events(spark, rows), accounts))))
+    got = R.with_budget(scored).select("account_id", "ts_us", "action", "regret_used").collect()
+    assert len(got) == 32 and max(r.regret_used for r in got) > 0
     for r in got:
-        assert r.regret_used == sum(o.action in config.INTRUSIVE_ACTIONS and r.ts_us - 30 * DAY_US <= o.ts_us < r.ts_us for o in got)
+        assert r.regret_used == sum(o.account_id == r.account_id and o.action in config.INTRUSIVE_ACTIONS and r.ts_us - 30 * DAY_US <= o.ts_us < r.ts_us for o in got)
 
 
 def test_nothing_to_replay(spark):

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.config import Settings
-from vigil.functions.scalars import rnd
+from vigil.functions.scalars import HOUR_US, rnd
 from vigil.operators import exchange, integrity, reputation, resilience
 from vigil.functions.storage import cut
+from vigil.plans.replay import Replay, replay
 from vigil.plans.scoring import decide_events, feature_table, scored_events
 from vigil.sources import adapter
 
@@ -150,6 +151,21 @@ class Inputs:
         capsules = adapter.edge_capsules(self.spark, self.sf_dir)
         return cut(resilience.context_asof(self.events, self.timeline, capsules, self.settings))
 
+    @cached_property
+    def incoming(self) -> DataFrame:
+        """Events as they arrive: some are sent again an hour later, and some sign-ins carry an amount."""
+        k = F.col("metadata")["k"].cast("int")
+        sent = self.events.withColumn("amount", F.when(k % 43 == 0, 1.0).otherwise(F.col("amount")))
+        again = sent.where(k % 50 == 0).withColumns({
+            "occurred_at": F.col("occurred_at") + F.expr("interval 1 hour"), "ts_us": F.col("ts_us") + HOUR_US})
+        return sent.unionByName(again)
+
+    @cached_property
+    def replayed(self) -> Replay:
+        """The whole engine over the incoming events, each scored in its turn."""
+        return replay(self.incoming, self.accounts, self.confirmed, self.feedback, self.outage_context, self.consortium,
+                      self.sketches, with_stand_in_model, self.settings)
+
     @cached_property
     def chained(self) -> DataFrame:
         """Event log linked into one hash chain per tenant and day."""

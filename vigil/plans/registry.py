@@ -16,6 +16,7 @@ from vigil.operators import (
 )
 from vigil.functions.storage import cut
 from vigil.plans import oracle as O
+from vigil.plans import replay
 from vigil.plans.fixtures import Inputs, inputs
 from vigil.plans.oracle import with_cte
 from vigil.sources import adapter, io
@@ -1246,6 +1247,35 @@ def _(i):
         F.coalesce("agent_assurance.gateway_attested", no).alias("terminal"))
 
 
+_INCOMING = _CONTEXT + (
+    f",\ninc as (select *, event_type not in {O.TXN} and amount2 <> 0 as bad from (select *, case when k % 43 = 0 then 1 else amount end as amount2, ts_us as at_us, false as again from ev"
+    f" union all select *, case when k % 43 = 0 then 1 else amount end as amount2, ts_us + {HOUR_US} as at_us, true as again from ev where k % 50 = 0))"
+)
+
+
+@query("admitted_events", ev(
+    "select i.event_id, at_us, case when bad then 'non_transaction_amount' when again then 'duplicate_event' else '' end as rejections,"
+    " case when not bad and not again then resilience_mode end as resilience_mode,"
+    " case when not bad and not again then coalesce(has_telco and telco_attested and dep_telco_gateway, false) end as telco"
+    " from inc i join cx on cx.event_id = i.event_id", _INCOMING))
+def _(i):
+    accepted, rejected = replay.admit(i.incoming, i.outage_context, i.settings)
+    telco = F.coalesce("telco_assurance.gateway_attested", F.lit(False))
+    kept = accepted.select("event_id", F.col("ts_us").alias("at_us"), text_list("rejections"), "resilience_mode", telco.alias("telco"))
+    return kept.unionByName(rejected.select("event_id", F.col("ts_us").alias("at_us"), text_list("rejections")), allowMissingColumns=True)
+
+
+@query("replayed_decisions")
+def _(i):
+    return i.replayed.decisions.select(
+        "event_id", "fused_score", "risk_level", "confidence_level", "action", "regret_used", "resilience_mode", "history_confidence")
+
+
+@query("replayed_trust")
+def _(i):
+    return i.replayed.trust.select("event_id", "account_id", "from_us", "to_us")
+
+
 _ENVELOPE = O.DECIDED + ",\n" + _CONTEXT + (
     ",\nen0 as (select d.*, cx.resilience_mode from dec d join cx on cx.event_id = d.event_id),\n"
     f"en as (select *, {R.envelope_rank('action', 'resilience_mode')} as rank_2 from en0)"
