@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vigil.functions.scalars import clamp, rnd
-from vigil.operators.timeline import positions
+from vigil.operators.ranks import rows_at
 
 
 def _pos() -> Column:
@@ -23,14 +23,20 @@ def _pos() -> Column:
 
 # ----------------------------------------------------------------------------------- splits
 def chrono_split(df: DataFrame, at: str, tie: str, train: float = 0.65, dev: float = 0.82) -> DataFrame:
-    """Adds split = train / validation / test by time order (65 / 17 / 18 %)."""
-    placed = positions(df, [], at, [tie])
-    n = F.col("total")
-    return placed.withColumn(
-        "split",
-        F.when(F.col("position") <= F.floor(n * train), "train")
-        .when(F.col("position") <= F.floor(n * dev), "validation").otherwise("test"),
-    ).drop("position", "total")
+    """Adds split = train / validation / test by time order (65 / 17 / 18 %).
+
+    Two rows bound the parts; they are found by rank, and all others are compared with them.
+    """
+    bounds = {r["name"]: r for r in rows_at(df, [], at, {
+        "train": lambda n: F.floor(n * train), "dev": lambda n: F.floor(n * dev)}, tie).collect()}
+
+    def before(name: str) -> Column:
+        if name not in bounds:  # the part ends with the last row
+            return F.lit(True)
+        own = bounds[name]
+        return F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")) < F.struct(F.lit(own[at]).alias("at"), F.lit(own[tie]).alias("tie"))
+
+    return df.withColumn("split", F.when(before("train"), "train").when(before("dev"), "validation").otherwise("test"))
 
 
 def account_disjoint_split(df: DataFrame) -> DataFrame:
