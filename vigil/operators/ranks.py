@@ -2,7 +2,7 @@
 
 A histogram between the smallest and the largest value tells which bucket holds a rank; the bucket takes the place of the group,
 until it has at most ``most`` rows or one value only.  Only the rows of such buckets are sorted, so a task never holds a group.
-Groups that are small from the start are sorted at once, in the same pass.
+Where all groups are small from the start, they are sorted at once.
 """
 
 from __future__ import annotations
@@ -29,9 +29,17 @@ def rows_at(rows: DataFrame, keys: list[str], value: str, ranks: dict[str, Calla
     # Doubles only choose buckets; bounds and order are the values' own.
     held = cut(rows.where(F.col(value).isNotNull()).select(*columns), "ranked")
     key = [F.col(k) for k in keys]
+
+    def named(n: Column) -> Column:
+        return F.array(*[F.struct(F.lit(name).alias("name"), at(n).cast("long").alias("rank")) for name, at in ranks.items()])
+
+    if (held.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= most:
+        own = Window.partitionBy(*key) if keys else Window.partitionBy(F.lit(0))
+        placed = held.select("*", (F.row_number().over(own.orderBy(value, *([tie] if tie else []))).cast("long") - 1).alias("_place"), F.count(F.lit(1)).over(own).alias("total"))
+        hit = F.filter(named(F.col("total")), lambda x: x["rank"] == F.col("_place"))
+        return placed.select(*columns, "total", F.inline(hit)).select(*keys, "name", "total", value, *([tie] if tie else []))
     whole = held.groupBy(*key).agg(F.count(F.lit(1)).alias("total"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    named = F.array(*[F.struct(F.lit(n).alias("name"), at(F.col("total")).cast("long").alias("rank")) for n, at in ranks.items()])
-    open_ = whole.select(*keys, "total", "lo", "hi", F.col("total").alias("n"), F.inline(named)).where("rank >= 0 and rank < total")
+    open_ = whole.select(*keys, "total", "lo", "hi", F.col("total").alias("n"), F.inline(named(F.col("total")))).where("rank >= 0 and rank < total")
     open_ = cut(open_, "ranks")
     while True:
         wide = open_.where((F.col("n") > most) & (F.col("lo") < F.col("hi")))
