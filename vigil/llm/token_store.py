@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.storage import new_path
+from vigil.llm import textbuf as tb
 from vigil.llm.token_counts import _pieces, library
 
 #: Separators that Python splits at and the tokenizer keeps.
@@ -36,18 +39,21 @@ class Encoder:
 
     def __init__(self, path: str, end: int, width: int, cache_units: int):
         self.path, self.cache_units, self.kind = path, cache_units, np.dtype(f"<u{width}")
+        self.code = "H" if width == 2 else "I"
         self.end = np.array([end], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         found = library(self.path).encode_batch_fast(texts, add_special_tokens=False)
+        if sys.byteorder == "little" and array(self.code).itemsize == self.kind.itemsize:
+            return [array(self.code, x.ids).tobytes() for x in found]
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, x in enumerate(texts) if KEPT_SEPARATORS.search(x)}
         units = [[] if i in whole else x.split() for i, x in enumerate(texts)]
         wanted = set().union(*units) if units else set()
-        missing = [x for x in wanted if x not in self.known]
+        missing = list(wanted.difference(self.known))
         if len(self.known) + len(missing) > self.cache_units:
             self.known = {}
             missing = list(wanted)
@@ -133,7 +139,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id: st
             yield give()
 
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id")
-    rows.mapInArrow(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    tb.mapped(rows, pack, BLOCKS).write.parquet(f"{path}/blocks")
     meta = spark.createDataFrame([(name, bytearray(trained), width, end)], "dictionary string, data binary, width int, end_id int")
     meta.coalesce(1).write.parquet(f"{path}/dictionary")
 
