@@ -107,7 +107,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
                 found = [pa.array(x.astype(np.int64)) for x in statistics(data, offsets)]
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(names)], *found], names=[*names, *COUNTS])
 
-    return rows.mapInArrow(count, schema)
+    return tb.mapped(rows, count, schema)
 
 
 @dataclass(frozen=True)
