@@ -20,13 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master, where driver and executors are one machine, may get a folder of its own; a cluster
     without the setting is refused, as its executors would write where nobody else can read.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_vigil_folder", None)
     if not folder:
         master = spark.conf.get("spark.master", "")
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = f"{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # Kept with the context: the setting itself cannot be changed once a session runs.
+        folder = context._vigil_folder = f"{tempfile.gettempdir()}/checkpoints/{context.applicationId}"
     return folder.rstrip("/")
 
 
