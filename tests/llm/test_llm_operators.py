@@ -141,6 +141,59 @@ def test_lattice_sums_all_segmentations():
     assert total @ [len(x) for x in pieces] == pytest.approx(9.0)  # expected pieces spell the word
 
 
+def test_lattice_of_long_words(monkeypatch):
+    """Words of any length, alone or in a batch and in panels of any size, have the probabilities of a plain recursion."""
+    pieces = (b" ", b" a", b"a", b"aa", b"ab", b"abab", b"b", b"x", b"xab")
+    p = np.array([0.05, 0.2, 0.1, 0.15, 0.2, 0.1, 0.1, 0.05, 0.05])
+    lattice = lm_scoring.Lattice(pieces, np.log(p))
+
+    def brute(word):
+        alpha = [0.0] + [-math.inf] * len(word)
+        for end in range(1, len(word) + 1):
+            parts = [alpha[end - len(x)] + math.log(q) for x, q in zip(pieces, p) if len(x) <= end and word[:end].endswith(x)]
+            alpha[end] = max(parts) + math.log(sum(math.exp(y - max(parts)) for y in parts))
+        return alpha[-1]
+
+    own = [b"a", b"b", b"xabab", b"ab" * 31, b"ab" * 32, b"xab" * 22, b"xaabb" * 300, b"x"]
+    want = [brute(b" " + w) for w in own]
+    for panel in (1, 5, 1 << 16):
+        monkeypatch.setattr(lm_scoring, "PANEL", panel)
+        assert lm_scoring.log_probability(lattice, own) == pytest.approx(want)
+        total, alone = np.zeros(len(pieces)), np.zeros(len(pieces))
+        counts = np.arange(1.0, len(own) + 1)
+        lm_scoring.expected_pieces(lattice, own, counts, total)
+        for w, n in zip(own, counts):
+            lattice.expected_alone(b" " + w, n, alone)
+        assert total == pytest.approx(alone)
+        assert total @ [len(x) for x in pieces] == pytest.approx(counts @ [len(w) + 1 for w in own])
+    # A probability below the range of a double, inside a batch.
+    rare = lm_scoring.Lattice((b" ", b"a", b"b"), np.log(np.array([1e-9, 1e-9, 1.0])))
+    total = np.zeros(3)
+    lm_scoring.expected_pieces(rare, [b"a" * 40, b"b"], np.array([2.0, 3.0]), total)
+    assert total == pytest.approx([5.0, 80.0, 3.0])
+
+
+def test_lm_scores_of_odd_rows(spark):
+    """Repeated ids, null ids, a text without spaces, words beyond the broadcast table and extra columns that clash."""
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    long = "日本語" * 40
+    rows = [(1, "a b a", 1, 2.0), (1, "a b a", 1, 2.0), (None, "a", 1, 2.0), (2, long, 1, 2.0), (3, f"{long} {long} b", 1, 2.0), (4, None, 1, 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, score double")
+    got = lm_scoring.lm_scores(docs, F.lit(True), path).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 2, 2, 4, 4, 4] and {r.train_tokens for r in got} == {17}
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.n_known, r.base_score, r.score))
+    assert by[1][0] == by[1][1] and len(by) == 5
+    end, a, b, whole = by[4][0][2], by[None][0][2] - by[4][0][2], None, by[2][0][2] - by[4][0][2]
+    b = by[1][0][2] - 2 * a - end
+    assert by[3][0][2] == pytest.approx(2 * whole + b + end) and whole < 0
+    base = {"a": 5, "b": 3, long: 3, None: 6}
+    assert by[3][0][1] == pytest.approx(sum(math.log10((base[w] + 1) / (17 + 4 + 1)) for w in (long, long, "b", None)))
+
+
 def test_mixing_matches_sql(spark, docs, tmp_path, nothing):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()

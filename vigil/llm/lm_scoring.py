@@ -3,8 +3,8 @@
 The pieces of an existing vocabulary, and every single byte so that all words can be spelled, get unigram
 probabilities that expectation maximisation learns from the training texts' word counts (starting from the
 vocabulary's own scores).  A word's probability is the sum over all ways to cut it into pieces, computed by a
-log-space forward recursion over its bytes, for many words of one length at once.  A text is its words and
-one end, so its log-probability is the sum of theirs.
+log-space forward recursion over its bytes, for many words at once; a long word (text without spaces) takes time
+in proportion to its bytes.  A text is its words and one end, so its log-probability is the sum of theirs.
 
 Counts of words, and the lattice of each distinct word, are computed once for the corpus.  Texts look up frequent
 words in a bounded broadcast table; only rarer words are joined by a shuffle, one row for each text and word.
@@ -12,6 +12,7 @@ words in a bounded broadcast table; only rarer words are joined by a shuffle, on
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import lru_cache
 
@@ -21,14 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.storage import cut
-from vigil.llm import textbuf as tb
 from vigil.llm.token_counts import _pieces
 
-#: Words of one lattice pass.
-LATTICE_WORDS = 20_000
+#: Bytes of words, padding included, in one lattice pass.
+LATTICE_CELLS = 320_000
 LOG10 = np.log(10.0)
-#: Words up to this length mostly keep their probabilities within a double; those that do not take the logarithms.
-LINEAR_BYTES = 40
+#: Longer words have a lattice pass each, in panels of so many starts, and are looked up by the join alone.
+LONG_BYTES = 64
+PANEL = 1 << 16
+#: Fills the matrix of a batch after a shorter word; no piece holds it.
+PAD = 256
+#: A task hands its word counts on after so many words or bytes of text.
+COUNT_WORDS, COUNT_BYTES = 400_000, 128 << 20
 NAMES = ["row", "id", "held_out", "word", "n", "known", "base", "score"]
 
 
@@ -56,141 +61,194 @@ def vocabulary(path: str) -> tuple[tuple[bytes, ...], tuple[float, ...]]:
     return tuple(pieces), tuple(found[x] for x in pieces)
 
 
+@lru_cache(maxsize=4)
+def _trie(pieces: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Steps (node, byte) -> node of a trie of the pieces, -1 where no piece continues, and each node's piece or -1.
+
+    Nodes that some piece continues come first and have a row of steps; byte ``PAD`` continues none.
+    """
+    parents = {b""}
+    for piece in pieces:
+        parents.update(piece[:k] for k in range(1, len(piece)))
+    inner = sorted(parents, key=lambda x: (len(x), x))
+    number = {x: i for i, x in enumerate(inner)}
+    for piece in pieces:
+        number.setdefault(piece, len(number))
+    steps = np.full((len(inner), PAD + 1), -1, np.int32)
+    for prefix, i in number.items():
+        if prefix:
+            steps[number[prefix[:-1]], prefix[-1]] = i
+    held = np.full(len(number), -1, np.int32)
+    held[[number[x] for x in pieces]] = np.arange(len(pieces))
+    return steps, held
+
+
 class Lattice:
-    """Forward and backward recursions over the pieces of a vocabulary."""
+    """Forward and backward recursions over the pieces of a vocabulary.
+
+    Spans are found along a trie, so a start is left as soon as no piece continues it.  Words of a batch go
+    together; a longer word goes alone, its spans found for all starts of a panel at once.
+    """
 
     def __init__(self, pieces: tuple[bytes, ...], log_p: np.ndarray):
-        self.log_p = np.append(log_p, -np.inf)
-        lengths = np.array([len(x) for x in pieces])
-        self.longest = int(lengths.max())
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        ends = np.cumsum(lengths)
-        self.hashes = tb.span_hashes(data, ends - lengths, ends)
-        self.bits = 2 + int(len(pieces)).bit_length()
-        # Open addressing by the top bits of the hash.
-        size = 1 << self.bits
-        self.slot_hash = np.zeros(size, np.uint64)
-        self.slot_piece = np.full(size, len(pieces), np.int64)
-        for i, h in enumerate(self.hashes.tolist()):
-            at = h >> (64 - self.bits)
-            while self.slot_piece[at] != len(pieces):
-                at = (at + 1) & (size - 1)
-            self.slot_hash[at], self.slot_piece[at] = h, i
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece numbers, or the number of pieces where there is none."""
-        none = len(self.log_p) - 1
-        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        held = self.slot_piece[at]
-        out = np.where(self.slot_hash[at] == hashes, held, none)
-        # An empty slot ends a search; only collisions look further.
-        rest = np.flatnonzero((out == none) & (held != none))
-        at = at[rest]
-        while len(rest):
-            at = (at + 1) & (len(self.slot_hash) - 1)
-            held = self.slot_piece[at]
-            hit = (self.slot_hash[at] == hashes[rest]) & (held != none)
-            out[rest[hit]] = held[hit]
-            go = ~hit & (held != none)
-            rest, at = rest[go], at[go]
-        return out
+        self.log_p = log_p
+        self.longest = max(map(len, pieces))
+        self.steps, self.held = _trie(pieces)
 
     def _spans(self, words: np.ndarray):
-        """(start, end, piece of each word) for the spans of words of one length that are a piece of some word."""
-        n, length = words.shape
-        total = np.zeros((n, length + 1), np.uint64)
-        np.cumsum(tb.BYTES[words] * tb.powers(tb.BASE, length), axis=1, out=total[:, 1:])
-        inverse = tb.powers(tb.INVERSE, length + 1)
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                span = (total[:, end] - total[:, start]) * inverse[start] + np.uint64(((end - start) * 0xD6E8FEB86659FD93) & (2**64 - 1))
-                yield start, end, self.find(tb.mix(span))
-
-    def forward(self, words: np.ndarray, keep: bool = False):
-        """Natural log-probability of each row of a byte matrix; with ``keep`` also the table and the spans."""
+        """(start, end, rows, pieces) of the spans of a byte matrix that are pieces; starts ascend."""
+        columns = np.ascontiguousarray(words.T)
+        every = np.arange(words.shape[0])
+        for start in range(len(columns)):
+            rows, node = every, self.steps[0, columns[start]]
+            for end in range(start + 1, len(columns) + 1):
+                if (node < 0).any():
+                    live = node >= 0
+                    rows, node = rows[live], node[live]
+                piece = self.held[node]
+                if (piece < 0).any():
+                    hit = piece >= 0
+                    if hit.any():
+                        yield start, end, rows[hit], piece[hit]
+                elif len(rows):
+                    yield start, end, rows, piece
+                if end == len(columns):
+                    break
+                further = node < len(self.steps)
+                rows, node = rows[further], node[further]
+                if not len(rows):
+                    break
+                node = self.steps[node, columns[end][rows]]
+
+    def forward(self, words: np.ndarray) -> np.ndarray:
+        """Natural log-probability of each row of a byte matrix (``PAD`` after a shorter word)."""
         n, length = words.shape
         alpha = np.full((length + 1, n), -np.inf)
         alpha[0] = 0.0
-        spans, parts, at = [], [], 1
-        for start, end, piece in self._spans(words):
-            if end != at:
-                alpha[at] = _log_sum(parts)
-                parts, at = [], end
-            hit = piece < len(self.log_p) - 1
-            if hit.any():
-                parts.append(alpha[start] + self.log_p[piece])
-                if keep:
-                    spans.append((start, end, piece))
-        alpha[at] = _log_sum(parts)
-        return (alpha, spans) if keep else alpha[length]
-
-    def _expected_linear(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
-        """The same for words too short to underflow, without logarithms."""
+        for start, end, rows, piece in self._spans(words):  # alpha[start] is complete: all earlier starts are done
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + self.log_p[piece])
+        return alpha[(words != PAD).sum(1), np.arange(n)]
+
+    def expected(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
+        """Adds the expected piece counts of a byte matrix of words, seen ``counts`` times, to ``total``.
+
+        No logarithms: the words of a batch are short.  A word whose probability leaves the range of a double goes alone.
+        """
         n, length = words.shape
-        p, none = np.exp(self.log_p), len(self.log_p) - 1
-        spans = [(start, end, piece) for start, end, piece in self._spans(words) if (piece < none).any()]
+        p = np.exp(self.log_p)
+        spans = list(self._spans(words))
         alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        alpha[0] = beta[length] = 1.0
-        for start, end, piece in spans:  # ends ascend
-            alpha[end] += alpha[start] * p[piece]
-        for start, end, piece in reversed(spans):
-            beta[start] += p[piece] * beta[end]
-        low = alpha[length] < 1e-250
-        weight = np.where(low, 0.0, counts / np.where(low, 1.0, alpha[length]))
-        for start, end, piece in spans:
-            total += np.bincount(piece, alpha[start] * p[piece] * beta[end] * weight, len(total) + 1)[: len(total)]
-        if low.any():
-            self._expected_log(words[low], counts[low], total)
+        alpha[0] = beta[(words != PAD).sum(1), np.arange(n)] = 1.0
+        for start, end, rows, piece in spans:
+            alpha[end, rows] += alpha[start, rows] * p[piece]
+        for start, end, rows, piece in reversed(spans):
+            beta[start, rows] += p[piece] * beta[end, rows]
+        whole = beta[0]
+        low = whole < 1e-250
+        weight = np.where(low, 0.0, counts / np.where(low, 1.0, whole))
+        shares = [alpha[start, rows] * p[piece] * beta[end, rows] * weight[rows] for start, end, rows, piece in spans]
+        if spans:
+            total += np.bincount(np.concatenate([x[3] for x in spans]), np.concatenate(shares), len(total))
+        for i in np.flatnonzero(low):
+            own = words[i]
+            self.expected_alone(own[own != PAD].astype(np.uint8).tobytes(), float(counts[i]), total)
+
+    def _panel(self, data: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts in [at, to), ends and pieces of the spans of one word; starts ascend."""
+        found, starts = [], np.arange(at, to)
+        node, end = self.steps[0, data[starts]], starts + 1
+        while len(starts):
+            live = node >= 0
+            starts, node, end = starts[live], node[live], end[live]
+            piece = self.held[node]
+            hit = piece >= 0
+            found.append((starts[hit], end[hit], piece[hit]))
+            go = (node < len(self.steps)) & (end < len(data))
+            starts, node, end = starts[go], node[go], end[go]
+            node = self.steps[node, data[end]]
+            end = end + 1
+        starts, ends, pieces = (np.concatenate([x[k] for x in found]) for k in range(3))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], pieces[order]
+
+    def _forward_alone(self, data: np.ndarray) -> np.ndarray:
+        """log-probability of every prefix of one word."""
+        out = np.full(len(data) + 1, -np.inf)
+        out[0] = 0.0
+        for at in range(0, len(data), PANEL):
+            to = min(len(data), at + PANEL)
+            alpha = out[at : to + self.longest].tolist()
+            starts, ends, pieces = self._panel(data, at, to)
+            for start, end, log_p in zip((starts - at).tolist(), (ends - at).tolist(), self.log_p[pieces].tolist()):
+                alpha[end] = _log_add(alpha[end], alpha[start] + log_p)
+            out[at : at + len(alpha)] = alpha
+        return out
 
-    def expected(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
-        """Adds the expected piece counts of the words, seen ``counts`` times, to ``total``."""
-        (self._expected_linear if words.shape[1] <= LINEAR_BYTES else self._expected_log)(words, counts, total)
-
-    def _expected_log(self, words: np.ndarray, counts: np.ndarray, total: np.ndarray) -> None:
-        alpha, spans = self.forward(words, True)
-        length = words.shape[1]
-        beta = np.full_like(alpha, -np.inf)
-        beta[length] = 0.0
-        for start, end, piece in sorted(spans, key=lambda x: -x[1]):
-            # Ends descend, so beta[end] is complete when it is used.
-            beta[start] = np.logaddexp(beta[start], self.log_p[piece] + beta[end])
-        for start, end, piece in spans:
-            share = np.exp(alpha[start] + self.log_p[piece] + beta[end] - alpha[length])
-            total += np.bincount(piece, share * counts, len(total) + 1)[: len(total)]
-
-
-def _log_sum(parts: list[np.ndarray]) -> np.ndarray:
-    stacked = np.stack(parts)
-    most = stacked.max(0)
-    safe = np.where(np.isfinite(most), most, 0.0)
-    with np.errstate(divide="ignore"):
-        return safe + np.log(np.exp(stacked - safe).sum(0))
-
-
-def by_length(words: list[bytes]):
-    """(row numbers, byte matrix with the word start in front) for words of one length, in bounded parts."""
-    lengths = np.array([len(x) for x in words])
+    def forward_alone(self, word: bytes) -> float:
+        """Natural log-probability of one word of any length (the word start included)."""
+        return float(self._forward_alone(np.frombuffer(word, np.uint8))[-1])
+
+    def expected_alone(self, word: bytes, count: float, total: np.ndarray) -> None:
+        """``expected`` for one word of any length, panel by panel from its end."""
+        data = np.frombuffer(word, np.uint8)
+        alpha, n = self._forward_alone(data), len(data)
+        beyond = [0.0]  # beta from the end of a panel on
+        for at in reversed(range(0, n, PANEL)):
+            to = min(n, at + PANEL)
+            starts, ends, pieces = self._panel(data, at, to)
+            beta = [-math.inf] * (to - at) + beyond
+            log_p = self.log_p[pieces]
+            for start, end, own in zip((starts - at)[::-1].tolist(), (ends - at)[::-1].tolist(), log_p[::-1].tolist()):
+                beta[start] = _log_add(beta[start], own + beta[end])
+            share = np.exp(alpha[starts] + log_p + np.array(beta)[ends - at] - alpha[n])
+            total += np.bincount(pieces, share * count, len(total))
+            beyond = beta[: self.longest + 1]
+
+
+def _log_add(x: float, y: float) -> float:
+    low, high = (x, y) if x < y else (y, x)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def in_batches(words: list[bytes]):
+    """(row numbers, byte matrix with the word start in front) of the words up to ``LONG_BYTES``, by length, in bounded parts."""
+    lengths = np.array([len(x) for x in words], np.int64)
     order = np.argsort(lengths, kind="stable")
-    edges = np.flatnonzero(np.diff(lengths[order])) + 1
-    for own in np.split(order, edges):
-        if not len(own):
-            continue
-        length = int(lengths[own[0]])
-        step = max(1, LATTICE_WORDS * 16 // (length + 1))
-        for at in range(0, len(own), step):
-            part = own[at : at + step]
-            raw = np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), length)
-            yield part, np.concatenate([np.full((len(part), 1), 32, np.uint8), raw], axis=1)
+    order = order[: np.searchsorted(lengths[order], LONG_BYTES, "right")]
+    at = 0
+    while at < len(order):
+        # Cells of the part that ends before each word; lengths ascend, so they do too.
+        cells = np.arange(1, len(order) - at + 1) * (lengths[order[at:]] + 1)
+        part = order[at : at + max(1, int(np.searchsorted(cells, LATTICE_CELLS, "right")))]
+        width = int(lengths[part[-1]]) + 1
+        matrix = np.full((len(part), width), PAD, np.int16)
+        matrix[:, 0] = 32
+        inside = np.arange(1, width) <= lengths[part][:, None]
+        matrix[:, 1:][inside] = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+        yield part, matrix
+        at += len(part)
 
 
 def log_probability(lattice: Lattice, words: list[bytes]) -> np.ndarray:
     """Natural log-probability of each (non-empty) word."""
     out = np.zeros(len(words))
-    for rows, matrix in by_length(words):
+    for rows, matrix in in_batches(words):
         out[rows] = lattice.forward(matrix)
+    for i, word in enumerate(words):
+        if len(word) > LONG_BYTES:
+            out[i] = lattice.forward_alone(b" " + word)
     return out
 
 
+def expected_pieces(lattice: Lattice, words: list[bytes], counts: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected piece counts of all words, seen ``counts`` times, to ``total``."""
+    for rows, matrix in in_batches(words):
+        lattice.expected(matrix, counts[rows], total)
+    for i, word in enumerate(words):
+        if len(word) > LONG_BYTES:
+            lattice.expected_alone(b" " + word, float(counts[i]), total)
+
+
 def split(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased; null has none."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -200,6 +258,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word (binary), n: how often each word of (text, training) occurs in training texts; 0 for words of other texts alone."""
     def count(batches):
         seen: Counter = Counter()
+        held = 0
 
         def give():
             out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -213,8 +272,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 else:
                     for word in split(text):
                         seen[word] += 0
-            if len(seen) > 400_000:
-                yield give()
+                held += len(text or "")
+                if len(seen) > COUNT_WORDS or held > COUNT_BYTES:
+                    yield give()
+                    held = 0
         if seen:
             yield give()
 
@@ -236,8 +297,7 @@ def learn(counts: DataFrame, ends: int, path: str, rounds: int) -> tuple[np.ndar
             lattice, total = Lattice(names, shared.value), np.zeros(len(names))
             for batch in batches:
                 n = batch.column(1).to_numpy()
-                for rows, matrix in by_length(batch.column(0).to_pylist()):
-                    lattice.expected(matrix, n[rows].astype(float), total)
+                expected_pieces(lattice, batch.column(0).to_pylist(), n.astype(float), total)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
@@ -273,7 +333,7 @@ def lm_scores(docs: DataFrame, training: Column, path: str, id: str = "doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["word", "n", "p"])
 
     weights = cut(counts.mapInArrow(weigh, "word binary, n long, p double"), "weights")
-    top = weights.orderBy(F.desc("n"), "word").limit(frequent).toPandas()
+    top = weights.where(F.octet_length("word") <= LONG_BYTES).orderBy(F.desc("n"), "word").limit(frequent).toPandas()
     table = spark.sparkContext.broadcast((
         {bytes(w): i for i, w in enumerate(top.word)}, np.log10((top.n.to_numpy(float) + 1) / bottom), (top.n.to_numpy() > 0).astype(np.int64), top.p.to_numpy(float)))
     end = (float(np.log10((ends + 1) / bottom)), int(ends > 0), log_end / LOG10)
