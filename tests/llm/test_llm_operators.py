@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -141,6 +142,28 @@ def test_lattice_sums_all_segmentations():
     assert total @ [len(x) for x in pieces] == pytest.approx(9.0)  # expected pieces spell the word
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div style="visibility:hidden">no<span style="visibility:visible">yes</span>no</div>z', "yes\nz"),
+    ('<div style="display:none">no<span style="visibility:visible">no</span></div>z', "z"),
+    ('<table style="visibility:hidden"><tr><td>n<td style="visibility:visible">y<tr style="visibility:collapse"><td style="visibility:visible">z</table>', "y"),
+    ('<svg><g visibility="hidden"><text>n</text><text visibility="visible">y</text></g><text>z</text></svg>e', "y z e"),
+    ('<ul><li style="visibility:hidden">n<li>k</ul>', "- k"),
+    ("<select size=3><option>a<option>b</select>", "a\nb"), ("<select><option>a<option>b</select>", "a"),
+    ("a<!-- x --!>b<!-->c<!--->d<!-- e", "abcd"), ("<ruby>x<rp>(</rp><rt>y</rt><rp>)</rp></ruby>", "xy"),
+    ("<span title='a>b'>c</span> 1 < 2 <a href=\"x", "c 1 < 2 <a href=\"x"), ('<a"b">c', "c"),
+])
+def test_html_visible_text(page, want):
+    assert html_text.render(page)[0] == want
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<a" * 100_000, '<a "' * 50_001 + ">", "<a '\"" * 50_001 + ">", "<div>" * 50_000, "<p><button>" + "<div>" * 50_000,
+                                  "<!--" * 50_000, "<svg>" + "<g>" * 50_000, "<table><tr><td>" + "<b>" * 50_000 + "<tr>" * 1_000])
+def test_html_of_broken_pages_takes_linear_time(page):
+    start = time.process_time()
+    html_text.render(page)
+    assert time.process_time() - start < 10  # a scan for each tag would take minutes
+
+
 def test_lattice_of_long_words(monkeypatch):
     """Words of any length, alone or in a batch and in panels of any size, have the probabilities of a plain recursion."""
     pieces = (b" ", b" a", b"a", b"aa", b"ab", b"abab", b"b", b"x", b"xab")

@@ -4,12 +4,16 @@ A tree builder with implied tags (an ``li`` ends an open ``li``, a block ends an
 renderer that emits all visible text: scripts, heads, hidden elements and closed details are left out; blocks start lines,
 paragraphs, headings, lists and tables stand apart by a blank line, list items carry their marks and indents, and the
 cells of a table are aligned in columns.  Of SVG the text elements and embedded HTML are shown, of MathML all but
-annotations and phantoms; of inputs the values of all types that show theirs.  Nothing recurses over the depth of the page.
+annotations and phantoms; of inputs the values of all types that show theirs, of list boxes all options.  What ``visibility``
+hides is left out, but elements inside may show themselves again; ``display: none`` hides all inside.
+
+Nothing recurses over the depth of the page, and broken tags, unclosed quotes and deep nesting take time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 from unicodedata import east_asian_width
 
@@ -18,15 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)", re.S)
+NAME = re.compile(r"</?[a-zA-Z]")
+#: Tags without a ``<`` inside, nearly all; others are read step by step.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><\"']*+)(?=[\s/>])((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 PRE_STYLE = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|pre-wrap|break-spaces)\b", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas noembed noframes datalist title meta link".split())
+UNSEEN = frozenset("head script style template noscript iframe object audio video canvas noembed noframes datalist title meta link rp".split())
 #: Elements of SVG and MathML that are not rendered where they stand.
 FOREIGN_UNSEEN = frozenset("script style title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter "
                            "annotation annotation-xml mphantom".split())
@@ -73,40 +81,108 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+class _Next:
+    """Where a pattern comes next; a repeated question about the same stretch is not searched again."""
+
+    def __init__(self, pattern: str, text: str):
+        self.search, self.text, self.low, self.found = re.compile(pattern).search, text, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.low <= at <= self.found:
+            m = self.search(self.text, at)
+            self.low, self.found = at, m.start() if m else len(self.text)
+        return self.found
+
+
+class _Tags:
+    """Tags of a page.  A tag that never ends is text; the places it was read through are not read again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.name_end, self.special = _Next(r"[\s/>]", html), _Next("[>\"']", html)
+        self.last = {q: html.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def read(self, at: int) -> tuple[bool, str, str, int] | None:
+        """(end tag, name, raw attributes, place after it) of the tag at a ``<``."""
+        m = PLAIN_TAG.match(self.html, at)
+        if m:
+            return bool(m[1]), m[2].lower(), m[3], m.end()
+        if not NAME.match(self.html, at):
+            return None
+        end = self.html[at + 1] == "/"
+        start = at + 1 + end
+        attributes = now = self.name_end(start)
+        trail = []
+        while True:
+            now = self.special(now)
+            if now == len(self.html) or now in self.dead:
+                break
+            if self.html[now] == ">":
+                return end, self.html[start:attributes].lower(), self.html[attributes:now], now + 1
+            trail.append(now)
+            if self.last[self.html[now]] == now:
+                break
+            now = self.html.index(self.html[now], now + 1) + 1
+        self.dead.update(trail)
+        return None
+
+
 class _Builder:
     def __init__(self):
         self.root = Node("html", {})
         self.open = [self.root]
         self.roots: list[tuple[int, Node]] = []
+        #: Places of the open elements of each tag, and of those that HTML inside SVG and MathML stands in.
+        self.places: dict[str, list[int]] = {}
+
+    def _add(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.foreign and node.tag in INTEGRATION:
+            self.places.setdefault("#integration", []).append(len(self.open))
+        self.open.append(node)
+
+    def _end_from(self, place: int) -> None:
+        while len(self.open) > place:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            if node.foreign and node.tag in INTEGRATION:
+                self.places["#integration"].pop()
+
+    def _innermost(self, tags) -> int:
+        """Place of the innermost open element of ``tags``; 0 if there is none."""
+        most = 0
+        for tag in tags:
+            held = self.places.get(tag)
+            if held and held[-1] > most:
+                most = held[-1]
+        return most
 
     def foreign(self) -> bool:
         """Whether the next element is one of SVG or MathML."""
         while self.roots and (self.roots[-1][0] >= len(self.open) or self.open[self.roots[-1][0]] is not self.roots[-1][1]):
             self.roots.pop()
-        if not self.roots:
-            return False
-        return not any(x.foreign and x.tag in INTEGRATION for x in self.open[self.roots[-1][0] :])
+        return bool(self.roots) and self._innermost(("#integration",)) < self.roots[-1][0]
 
     def _close(self, tags, until=(), scope=SCOPE) -> None:
         """Ends the innermost open element of ``tags`` and what is inside it, unless one of ``until`` or ``scope`` comes first."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.open[i].tag
-            if tag in tags:
-                del self.open[i:]
-                return
-            if tag in until or tag in scope:
-                return
+        if self.open[-1].tag in tags and len(self.open) > 1:
+            self._end_from(len(self.open) - 1)
+            return
+        place = self._innermost(tags)
+        if place and place >= self._innermost(until) and place >= self._innermost(scope):
+            self._end_from(place)
 
     def text(self, value: str) -> None:
         if self.open[-1].tag == "head" and value.strip(" \t\n\r\f"):
-            del self.open[-1:]
+            self._end_from(len(self.open) - 1)
         self.open[-1].children.append(value)
 
     def start(self, tag: str, attributes: dict[str, str], closed: bool) -> None:
         foreign = self.foreign()
         if foreign and tag in BREAKOUT:
             while self.foreign():
-                del self.open[self.roots[-1][0] :]
+                self._end_from(self.roots[-1][0])
             foreign = False
         if foreign:
             self._enter(tag, attributes, True, closed)
@@ -114,36 +190,26 @@ class _Builder:
         if tag in ("html", "body"):
             return
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
-            del self.open[-1:]
+            self._end_from(len(self.open) - 1)
         if tag in ENDS_P:
             self._close(("p",), ("button", "object"))
         if tag in IMPLIED:
             ends, until = IMPLIED[tag]
-            for i in range(len(self.open) - 1, 0, -1):
-                own = self.open[i].tag
-                if own in until:
-                    break
-                if own in ends:
-                    del self.open[i:]
-                    break
-                if own == "table":
-                    break
+            self._close(ends, until, ("table",))
             # Table rows and bodies end the cells in them.
-            if tag in ("tr", "tbody", "thead", "tfoot"):
-                for i in range(len(self.open) - 1, 0, -1):
-                    own = self.open[i].tag
-                    if own == "table":
-                        break
-                    if own == "tr" or (tag != "tr" and own in ("tbody", "thead", "tfoot")):
-                        del self.open[i:]
-                        if tag == "tr":
-                            break
+            if tag == "tr":
+                self._close(("tr",), (), ("table",))
+            elif tag in ("tbody", "thead", "tfoot"):
+                table = self._innermost(("table",))
+                parts = [x[bisect_right(x, table)] for x in map(self.places.get, ("tr", "tbody", "thead", "tfoot")) if x and x[-1] > table]
+                if parts:
+                    self._end_from(min(parts))
             elif tag in ("td", "th"):
-                inside = next((x.tag for x in reversed(self.open) if x.tag in ("tr", "table")), None)
-                if inside == "table":
+                table = self._innermost(("table",))
+                if table and table > self._innermost(("tr",)):
                     self._push(Node("tr", {}))
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.open[-1].tag):
-            del self.open[-1:]
+            self._end_from(len(self.open) - 1)
         self._enter(tag, attributes, tag in ("svg", "math"), closed)
 
     def _enter(self, tag: str, attributes: dict[str, str], foreign: bool, closed: bool) -> None:
@@ -152,11 +218,11 @@ class _Builder:
         if not closed and (foreign or tag not in VOID):
             if foreign and tag in ("svg", "math"):
                 self.roots.append((len(self.open), node))
-            self.open.append(node)
+            self._add(node)
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        self.open.append(node)
+        self._add(node)
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -164,7 +230,7 @@ class _Builder:
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
             return
-        if tag == "p" and not any(x.tag == "p" for x in self.open):
+        if tag == "p" and not self.places.get("p"):
             self.open[-1].children.append(Node("p", {}))
             return
         tags = ("h1", "h2", "h3", "h4", "h5", "h6") if re.fullmatch("h[1-6]", tag) else (tag,)
@@ -173,27 +239,34 @@ class _Builder:
 
 def parse(html: str) -> Node:
     """The element tree of a page; any text gives one."""
-    builder, at = _Builder(), 0
+    builder, tags, at = _Builder(), _Tags(html), 0
     while at < len(html):
-        m = TOKEN.search(html, at)
-        if m is None:
+        begin = html.find("<", at)
+        comment = found = None
+        while begin >= 0:
+            comment = COMMENT.match(html, begin) if html.startswith(("<!", "<?"), begin) else None
+            found = None if comment else tags.read(begin)
+            if comment or found:
+                break
+            begin = html.find("<", begin + 1)
+        if begin < 0:
             builder.text(unescape(html[at:]))
             break
-        if m.start() > at:
-            builder.text(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            if html.startswith("<![CDATA[", m.start()) and builder.foreign():
-                stop = html.find("]]>", m.start())
-                builder.text(html[m.start() + 9 : stop if stop >= 0 else len(html)])
+        if begin > at:
+            builder.text(unescape(html[at:begin]))
+        if comment:
+            at = comment.end()
+            if html.startswith("<![CDATA[", begin) and builder.foreign():
+                stop = html.find("]]>", begin)
+                builder.text(html[begin + 9 : stop if stop >= 0 else len(html)])
                 at = stop + 3 if stop >= 0 else len(html)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        ends, tag, raw_attributes, at = found
+        if ends:
             builder.end(tag)
             continue
-        closed = m[3].endswith("/") and (tag in ("svg", "math", "path") or builder.foreign())
-        builder.start(tag, _attributes(m[3]), closed)
+        closed = raw_attributes.endswith("/") and (tag in ("svg", "math", "path") or builder.foreign())
+        builder.start(tag, _attributes(raw_attributes), closed)
         if tag in RAW and not closed:
             stop = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
             raw = html[at : stop.start() if stop else len(html)]
@@ -203,13 +276,28 @@ def parse(html: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
+    """Whether the element and all inside it is left out."""
     a = node.attributes
     if node.foreign:
-        if node.tag in FOREIGN_UNSEEN or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse") or "hidden" in a:
+        if node.tag in FOREIGN_UNSEEN or a.get("display") == "none" or "hidden" in a:
             return True
     elif node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
-    return "style" in a and HIDING.search(a["style"]) is not None
+    if "style" not in a:
+        return False
+    return HIDING.search(a["style"]) is not None or (node.tag in TABLE_PARTS and node.tag not in ("td", "th") and _visibility(node) == "collapse")
+
+
+def _visibility(node: Node) -> str | None:
+    """The element's own visibility; the last declaration counts."""
+    found = VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else []
+    return found[-1].lower() if found else node.attributes.get("visibility") if node.foreign else None
+
+
+def seen_in(node: Node, sight: bool) -> bool:
+    """Whether text right inside the element is visible, where ``sight`` says so of its parent."""
+    own = _visibility(node) if node.foreign or "style" in node.attributes else None
+    return sight if own not in ("hidden", "collapse", "visible", "initial") else own in ("visible", "initial")
 
 
 class _Box:
@@ -296,28 +384,28 @@ def columns(text: str) -> int:
     return len(text) if text.isascii() else sum(2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _table(node: Node, depth: int) -> tuple[list[object], list[str], int]:
+def _table(node: Node, depth: int, sight: bool) -> tuple[list[object], list[str], int]:
     """(what stands before the table, its lines, number of cells)."""
     before: list[object] = []
-    rows: list[Node] = []
-    todo = list(reversed(node.children))
+    rows: list[tuple[Node, bool]] = []
+    todo = [(x, sight) for x in reversed(node.children)]
     while todo:
-        x = todo.pop()
+        x, sight = todo.pop()
         if isinstance(x, str):
             if x.strip():
                 before.append(x)
         elif hidden(x) or x.tag in ("colgroup", "col"):
             continue
         elif x.tag in ("thead", "tbody", "tfoot"):
-            todo.extend(reversed(x.children))
+            todo.extend((y, seen_in(x, sight)) for y in reversed(x.children))
         elif x.tag == "tr":
-            rows.append(x)
+            rows.append((x, seen_in(x, sight)))
         else:
             before.append(x)  # captions, and what a browser moves out of the table
     grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}
     cells = 0
-    for row in rows:
+    for row, sight in rows:
         line: dict[int, tuple[list[str], int]] = {}
         at, fresh = 0, {}
         for cell in row.children:
@@ -332,7 +420,7 @@ def _table(node: Node, depth: int) -> tuple[list[object], list[str], int]:
                 at += 1
             across = min(max(_number(cell.attributes.get("colspan"), 1), 1), 1000)
             down = min(max(_number(cell.attributes.get("rowspan"), 1), 1), 65534)
-            line[at] = (_flow(cell.children, depth + 1)[0], across)
+            line[at] = (_flow(cell.children, depth + 1, seen_in(cell, sight))[0], across)
             cells += 1
             if down > 1:
                 for k in range(at, at + across):
@@ -372,7 +460,7 @@ def _table(node: Node, depth: int) -> tuple[list[object], list[str], int]:
     return before, out, cells
 
 
-def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str, int]]:
+def _flow(children: list[object], depth: int = 0, sight: bool = True) -> tuple[list[str], dict[str, int]]:
     """Lines of a list of nodes, and how many blocks, list items, tables and cells they show."""
     box = _Box()
     seen = {"blocks": 0, "items": 0, "tables": 0, "cells": 0}
@@ -395,20 +483,33 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
             if tag in BLOCK:
                 box.block(tag in APART and not (tag in ("ul", "ol", "menu") and lists))
             continue
+        if what == "sight":
+            sight = node
+            continue
         if what == "table":
             box.block(True)
             box.whole(node)
             box.block(True)
             continue
         if isinstance(node, str):
-            (box.raw if pre else box.text)(node)
+            if sight:
+                (box.raw if pre else box.text)(node)
             continue
         if hidden(node):
             continue
+        own = seen_in(node, sight)
+        if own != sight:
+            todo.append(("sight", sight))
+            sight = own
         tag, a = node.tag, node.attributes
         if node.foreign:
             # Labels of a picture and parts of a formula are set apart by a space.
-            inner = [x for y in _labels(node) for x in (" ", y)] + [" "] if tag == "svg" else node.children
+            if tag == "svg":
+                todo.extend((("enter", " "), ("sight", sight)))
+                for label, around in reversed(_labels(node, sight)):
+                    todo.extend((("enter", label), ("enter", " "), ("sight", around)))
+                continue
+            inner = node.children
             if tag in PARTS:
                 inner = [x for y in inner for x in ((y,) if isinstance(y, str) else (y, " "))]
             todo.extend(("enter", x) for x in reversed(inner))
@@ -422,7 +523,7 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
         if tag == "wbr":
             continue
         if tag == "input":
-            if a.get("type", "text").strip().lower() not in VALUELESS and a.get("value"):
+            if a.get("type", "text").strip().lower() not in VALUELESS and a.get("value") and sight:
                 box.text(a["value"])
             continue
         if tag in VOID and tag != "hr":
@@ -431,7 +532,7 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
             box.block(True)
             continue
         if tag == "table" and depth < TABLE_DEPTH:
-            before, lines, cells = _table(node, depth)
+            before, lines, cells = _table(node, depth, sight)
             seen["tables"] += 1
             seen["cells"] += cells
             todo.append(("table", lines))
@@ -442,7 +543,7 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
         if tag == "select":
             options = [x for x in _inside(node) if x.tag == "option" and not hidden(x)]
             chosen = [x for x in options if "selected" in x.attributes] or options[:1]
-            children = chosen if "multiple" not in a else options
+            children = options if "multiple" in a or _number(a.get("size"), 1) > 1 else chosen
         if tag == "details" and "open" not in a:
             children = [x for x in node.children if not isinstance(x, str) and x.tag == "summary"][:1]
         extra = None
@@ -459,7 +560,7 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
             mark = f"{number}. " if kind == "ol" else "- "
             if lists:
                 lists[-1] = (kind, number + 1, level)
-            box.mark = mark
+            box.mark = mark if sight else None
             box.indent.append(" " * len(mark))
         elif tag == "dd":
             box.indent.append("    ")
@@ -477,17 +578,17 @@ def _flow(children: list[object], depth: int = 0) -> tuple[list[str], dict[str,
     return box.done(), seen
 
 
-def _labels(svg: Node) -> list[Node]:
-    """The text elements and embedded HTML of a picture, in order."""
-    out, todo = [], list(reversed(svg.children))
+def _labels(svg: Node, sight: bool) -> list[tuple[Node, bool]]:
+    """The text elements and embedded HTML of a picture, in order, and whether what they stand in is visible."""
+    out, todo = [], [(x, sight) for x in reversed(svg.children)]
     while todo:
-        x = todo.pop()
+        x, sight = todo.pop()
         if isinstance(x, str) or hidden(x):
             continue
         if x.tag in ("text", "foreignobject"):
-            out.append(x)
+            out.append((x, sight))
         else:
-            todo.extend(reversed(x.children))
+            todo.extend((y, seen_in(x, sight)) for y in reversed(x.children))
     return out
 
 
