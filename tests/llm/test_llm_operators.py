@@ -69,6 +69,14 @@ def test_html_hides_what_a_browser_hides():
     assert html_text.render(page)[0] == "s\nb" or html_text.render(page)[0] == "s\n\nb"
 
 
+def test_dictionary_samples_reach_the_end_of_a_text():
+    raw = np.arange(60_000, dtype="<u2").tobytes()
+    ids = np.frombuffer(token_store.spread(raw, 4096, 2), "<u2")
+    assert len(ids) == 2048 and ids[0] == 0 and ids[-1] == 59_999 and len(set(ids.tolist())) == 2048
+    assert (np.diff(ids.reshape(8, 256), axis=1) == 1).all() and np.ptp(np.diff(ids.reshape(8, 256)[:, 0].astype(int))) <= 1
+    assert token_store.spread(raw[:4096], 4096, 2) == raw[:4096] and token_store.spread(b"", 4096, 2) == b""
+
+
 @pytest.mark.parametrize("page, want", [
     ("a<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs><g><circle r=1 /><text x=1>One</text><text>T<tspan>wo</tspan></text></g>no</svg>b", "a One Two b"),
     ("<svg><path d=x><text><![CDATA[1 > 0]]></text><foreignObject><p>in</p></foreignObject></svg>after", "1 > 0\n\nin\n\nafter"),

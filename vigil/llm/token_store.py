@@ -38,6 +38,7 @@ class Encoder:
     """Serialised ids of texts, with a bounded cache of white-space units."""
 
     def __init__(self, path: str, end: int, width: int, cache_units: int):
+        self.key = (path, end, width, cache_units)
         self.path, self.cache_units, self.kind = path, cache_units, np.dtype(f"<u{width}")
         self.code = "H" if width == 2 else "I"
         self.end = np.array([end], self.kind).tobytes()
@@ -77,17 +78,35 @@ def encoder_of(path: str, end: int, width: int, cache_units: int) -> Encoder:
     return _ENCODERS[key]
 
 
+def spread(raw: bytes, size: int, width: int, chunks: int = 8) -> bytes:
+    """About ``size`` bytes of an id array: all of it, or chunks at equal distances from its start to its end."""
+    if len(raw) <= size:
+        return raw
+    own = max(width, size // chunks // width * width)
+    last = (len(raw) - own) // width
+    return b"".join(raw[last * k // (chunks - 1) * width :][:own] for k in range(chunks))
+
+
 def train_dictionary(docs: DataFrame, encoder: Encoder, id: str, text: str, rows: int, bytes_each: int, size: int) -> bytes:
     """A zstandard dictionary from the ``rows`` documents with the smallest hash of their id.
 
-    Of each sampled id array ``bytes_each`` bytes train; that bounds the driver's share and steers compression alone.
+    Their whole texts are encoded in tasks; chunks spread over each id array, ``bytes_each`` in all, train.  That bounds
+    the driver's share and steers compression alone.
     """
     import zstandard
 
-    chosen = docs.select(F.col(id).alias("__id")).distinct().orderBy(F.xxhash64("__id")).limit(rows)
-    texts = docs.join(F.broadcast(chosen), F.col(id) == F.col("__id")).select("__id", F.substring(text, 1, bytes_each).alias("t"))
-    texts = [r.t or "" for r in texts.groupBy("__id").agg(F.min("t").alias("t")).orderBy("__id").collect()]
-    samples = [x[:bytes_each] for x in encoder.encode(texts)]
+    key, width = encoder.key, encoder.kind.itemsize
+
+    def sample(batches):
+        own = encoder_of(*key)
+        for batch in _pieces(batches, 50):
+            raw = own.encode([x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spread(x, bytes_each, width) for x in raw], pa.binary())], names=["id", "t"])
+
+    rows_of = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    chosen = rows_of.select("id").distinct().orderBy(F.xxhash64("id")).limit(rows)
+    found = tb.mapped(rows_of.join(F.broadcast(chosen), "id"), sample, "id long, t binary")
+    samples = [bytes(r.t) for r in found.groupBy("id").agg(F.min("t").alias("t")).orderBy("id").collect()]
     if sum(map(len, samples)) < 8 * size or len(samples) < 16:
         return b"".join(samples)[:size]
     try:
