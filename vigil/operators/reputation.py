@@ -1,8 +1,8 @@
 """Reputation of recipients and terminals from analyst-confirmed fraud, now and as of an event.
 
 Confirmations are an append-only log; the reputation is a view over it.  The as-of form needs running
-values only (reports so far, distinct accounts so far, time of the last report), so it is a running
-aggregate on the key's timeline and never a range join.
+values only (reports so far, distinct accounts so far, time of the last report): a running aggregate over the
+confirmations, whose rows are intervals that queries look up by equi-joins (``operators/asof.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import DAY_US, HOUR_US, from_micros, rnd
+from vigil.operators.asof import as_of
 from vigil.operators.timeline import neighbours, running_at
 
 
@@ -86,8 +87,11 @@ def reputation_asof(
             F.lit(1).cast("long").alias("distinct_accounts"), F.lit(None).cast("long").alias("last_us"),
         )
     )
-    found = running_at(data, queries, keys, "at", sums=["confirmed_reports", "distinct_accounts"],
-                       maxs=["last_us"], bucket_us=bucket)
+    # Only the confirmations run through windows; queries look their state up by interval joins.
+    sums = ["confirmed_reports", "distinct_accounts"]
+    log = running_at(data, data.select(*keys, "at").distinct(), keys, "at", sums=sums, maxs=["last_us"], bucket_us=bucket)
+    found = as_of(queries, log, keys, "at", [*sums, "last_us"]).withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("long")) for c in sums})
     accounts, last, at = F.col("distinct_accounts"), F.col("last_us"), F.col("at")
     known = last.isNotNull()
     alive = at < last + kind.days * DAY_US

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import HOUR_US, from_micros, hmac_from_pads
+from vigil.operators.asof import as_of
 from vigil.operators.exchange import with_institution_key
 from vigil.operators.timeline import running_at
 from vigil.operators.topk import top_per_key
@@ -96,13 +97,11 @@ def context_asof(
 
     ``capsules`` (tenant_id, issued_us) are valid for ``edge_capsule_ttl_hours``.
     """
-    state = F.struct(F.col("at_us").alias("since"), "mode", *DEPS)
-    data = timeline.select("tenant_id", F.col("at_us").alias("at"), state.alias("state")).unionByName(
-        capsules.select("tenant_id", F.col("issued_us").alias("at"), "issued_us"),
-        allowMissingColumns=True)
+    # Heartbeats of one time are one change, as are repeated capsules.
+    states = timeline.groupBy("tenant_id", F.col("at_us").alias("at")).agg(F.max(F.struct("mode", *DEPS)).alias("state"))
+    issued = capsules.select("tenant_id", F.col("issued_us").alias("at"), "issued_us").distinct()
     asked = events.select("tenant_id", F.col("ts_us").alias("at"), "event_id")
-    found = running_at(data, asked, ["tenant_id"], "at", maxs=["state", "issued_us"],
-                       bucket_us=24 * settings.bucket_hours * HOUR_US)
+    found = as_of(as_of(asked, states, ["tenant_id"], "at", ["state"]), issued, ["tenant_id"], "at", ["issued_us"])
     mode = F.coalesce(F.col("state.mode"), F.lit("online"))
     valid = F.coalesce(
         F.col("at") < F.col("issued_us") + settings.edge_capsule_ttl_hours * HOUR_US, F.lit(False))
