@@ -11,7 +11,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           " labels conversations").split()
 SAMPLE = ["feature_table", "recipient_network", "agent_terminal", "sketch_admission", "profile_view",
           "policy_outcome", "mode_timeline", "audit_verify", "lifecycle_validate", "roc_auc",
-          "recipient_reputation_asof", "drift_report"]
+          "recipient_reputation_asof", "drift_report", "reconcile_rescore"]
 
 
 @pytest.fixture(scope="module")

@@ -66,6 +66,12 @@ def campaign_score() -> Column:
     ).otherwise(F.lit(0.0))
 
 
+def without_campaign(df: DataFrame) -> DataFrame:
+    """The columns of ``with_campaign`` where no campaign counts as evidence."""
+    return campaign_stages(df).withColumns({
+        "campaign_accounts": F.lit(0).cast("long"), "campaign_is_eligible": F.lit(False), "campaign_risk": F.lit(0.0)})
+
+
 def with_campaign(
     df: DataFrame, settings: Settings = DEFAULTS, accounts: DataFrame | None = None
 ) -> DataFrame:

@@ -140,10 +140,10 @@ def resilience_status(journal: DataFrame) -> DataFrame:
 
 
 def reconcile_delta(original: DataFrame, restored: DataFrame) -> DataFrame:
-    """Change of score after re-scoring journalled events with restored evidence."""
-    before = original.select("event_id", F.col("fused_score").alias("original_score"))
-    after = restored.select("event_id", F.col("fused_score").alias("restored_score"))
-    return before.join(after, "event_id").withColumn(
+    """Change of score after re-scoring journalled events with restored evidence; keeps further columns of ``restored``."""
+    key = ["tenant_id", "event_id"]
+    before = original.select(*key, F.col("fused_score").alias("original_score"))
+    return before.join(restored.withColumnRenamed("fused_score", "restored_score"), key).withColumn(
         "score_delta",
         F.floor((F.col("restored_score") - F.col("original_score")) * 1_000_000.0 + 0.5) / 1_000_000.0,
     )

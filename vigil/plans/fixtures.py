@@ -13,6 +13,7 @@ from vigil.functions.scalars import HOUR_US, rnd
 from vigil.operators import exchange, integrity, reputation, resilience
 from vigil.functions.storage import cut
 from vigil.plans.replay import Replay, replay
+from vigil.plans.rescore import rescore
 from vigil.plans.scoring import decide_events, feature_table, scored_events
 from vigil.sources import adapter
 
@@ -185,6 +186,12 @@ class Inputs:
             F.when(F.col("ts_us") % 3 == 0, "reconciled").otherwise("pending").alias("status"),
             (F.col("ts_us") % 17 == 0).alias("failed"))
 
+    @cached_property
+    def rescored(self) -> DataFrame:
+        """Pending journal entries scored with the evidence of their time and with all of it restored."""
+        pending = self.journal.filter("status = 'pending'")
+        return cut(rescore(self.features, pending, self.outage_context, self.consortium, self.sketches, with_stand_in_model, self.settings))
+
 
 _CACHE: dict[tuple[str, str], Inputs] = {}
 

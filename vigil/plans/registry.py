@@ -1316,13 +1316,42 @@ def _(i):
         "tenant_id", "pending_events", micros("oldest_pending_at").alias("oldest_us"))
 
 
-@query("reconcile_rescore", with_cte(
-    _JOURNAL + f",\nrr as (select sk.event_id, sk.fused_score, jn.risk_score from sk join jn on jn.event_id = sk.event_id where jn.status = 'pending')",
-    f"select event_id, risk_score as original_score, fused_score as restored_score, {O.r('fused_score - risk_score')} as score_delta from rr"))
+def _variant(text: str, *changes: tuple[str, str]) -> str:
+    """The same chain of SQL with some of its parts exchanged; each must be there."""
+    for old, new in changes:
+        assert old in text, old
+        text = text.replace(old, new)
+    return text
+
+
+# Evidence as the outage left it: own transfer alone without the graph, no model score, no exchange.
+_ALONE = {"unique_senders_24h": 1, "first_time_sender_ratio_24h": 1, "inflow_amount_1h": 0, "outflow_amount_1h": 0,
+          "rapid_cashout_ratio_1h": 0, "current_sender_first_time": 1}
+_MASKED_NET = _CONTEXT + ",\n" + _variant(O.NETWORK, ("\nnet as (", "\nnet_all as (")) + (
+    ",\nnet as (select n.event_id, n.tenant_id, "
+    + ", ".join(f"case when cx.dep_recipient_graph then n.{c} else cast({v} as double) end as {c}" for c, v in _ALONE.items())
+    + " from net_all n join cx on cx.event_id = n.event_id)"
+)
+_AS_KNOWN = _variant(
+    O.SKETCHED, (O.NETWORK, _MASKED_NET),
+    ("feat as materialized (select e.*,", "feat as materialized (select e.*, cx.resilience_mode, cx.dep_model_runtime, cx.dep_consortium,"),
+    (" from ev e join sf on", " from ev e join cx on cx.event_id = e.event_id join sf on"),
+    (O.MODEL_STAND_IN, f"case when dep_model_runtime then ({O.MODEL_STAND_IN}) end"),
+    ("coalesce(cons.consortium_score, 0) as", "case when dep_consortium then coalesce(cons.consortium_score, 0) else 0 end as"),
+    (O.LOOKUP, _variant(O.LOOKUP, (" from fz where ", " from fz where dep_consortium and "))),
+)
+# All evidence back, and no campaign.
+_RESTORED = _variant(O.CONFIDENT, (" else 0 end as campaign_risk from st", " else 0 end * 0 as campaign_risk from st"))
+
+
+@query("reconcile_rescore", (
+    f"with known as materialized ({with_cte(_AS_KNOWN, 'select event_id, ts_us, resilience_mode, fused_score from sk')}),\n"
+    f"restored as materialized ({with_cte(_RESTORED, 'select event_id, fused_score, confidence_score, risk_level from dc')})\n"
+    f"select k.event_id, k.fused_score as original_score, r.fused_score as restored_score, {O.r('r.fused_score - k.fused_score')} as score_delta,"
+    " r.confidence_score as restored_confidence, r.risk_level as restored_risk_level"
+    " from known k join restored r on r.event_id = k.event_id where k.resilience_mode <> 'online' and k.ts_us % 3 <> 0"))
 def _(i):
-    pending = i.journal.filter("status = 'pending'").select(
-        "event_id", F.col("risk_score").alias("fused_score"))
-    return resilience.reconcile_delta(pending, i.decisions)
+    return i.rescored.drop("tenant_id")
 
 
 # --------------------------------------------------------------------------------- governance

@@ -9,7 +9,7 @@ from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions import rules
 from vigil.functions.scalars import clamp, flag, rnd
-from vigil.operators.campaign import campaign_accounts, campaign_stages, with_campaign
+from vigil.operators.campaign import campaign_accounts, campaign_stages, with_campaign, without_campaign
 from vigil.operators.exchange import (
     consortium_apply, event_indicators, keyed_token, sketch_apply, sketch_lookup, sketch_match,
 )
@@ -89,21 +89,28 @@ def scored_events(
     sketches: DataFrame | None = None,
     settings: Settings = DEFAULTS,
     campaign: DataFrame | None = None,
+    campaign_evidence: bool = True,
 ) -> DataFrame:
     """Scores and confidence from a stored feature table; everything that no decision feeds back into.
 
     ``features`` is read several times, so store it first (``timeline.cut`` or a table).  The columns ``model_score``,
     ``resilience_mode`` and ``dep_consortium`` (false: shared evidence is out of reach) are used when present.
-    ``campaign`` is a stored result of ``campaign_accounts`` over all events, when ``features`` are only some.
+    ``campaign`` is a stored result of ``campaign_accounts`` over all events, when ``features`` are only some;
+    without ``campaign_evidence`` no campaign counts.
     """
     df = features
     if "model_score" not in df.columns:
         df = df.withColumn("model_score", F.lit(None).cast("double"))
     if "resilience_mode" not in df.columns:
         df = df.withColumn("resilience_mode", F.lit("online"))
-    accounts = cut(campaign_accounts(campaign_stages(features), settings)) if campaign is None else campaign
+    if campaign_evidence and campaign is None:
+        campaign = cut(campaign_accounts(campaign_stages(features), settings))
+
+    def campaigned(some: DataFrame) -> DataFrame:
+        return with_campaign(some, settings, campaign) if campaign_evidence else without_campaign(some)
+
     reachable = F.col("dep_consortium") if "dep_consortium" in features.columns else F.lit(True)
-    df = with_campaign(df, settings, accounts)
+    df = campaigned(df)
     df = fuse(anomaly(df)).withColumn(
         "fused_score",
         F.when(F.col("campaign_risk") >= 0.62, F.greatest("fused_score", "campaign_risk"))
@@ -129,7 +136,7 @@ def scored_events(
                            "matched_indicators": "string"}.items():
             df = df.withColumn(name, F.lit(None).cast(kind))
     else:
-        indicators = event_indicators(with_campaign(features.where(reachable), settings, accounts))
+        indicators = event_indicators(campaigned(features.where(reachable)))
         matches = cut(sketch_match(sketch_lookup(indicators, sketches, settings)))
         df = df.join(matches, "event_id", "left")
     df = decision_confidence(sketch_apply(df))
