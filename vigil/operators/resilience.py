@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from vigil import config
 from vigil.config import DEFAULTS, Settings
 from vigil.functions.scalars import HOUR_US, from_micros, hmac_from_pads
+from vigil.functions.storage import cut
 from vigil.operators.asof import as_of
 from vigil.operators.exchange import with_institution_key
-from vigil.operators.timeline import running_at
 from vigil.operators.topk import top_per_key
 
 DEPS = [f"dep_{name}" for name in config.DEPENDENCIES]
@@ -48,37 +48,70 @@ def heartbeat_admit(beats: DataFrame, settings: Settings = DEFAULTS) -> DataFram
     ).drop("first_claim")
 
 
+def _after(start: Column, ok: Column, early: Column, done: Column) -> Column:
+    """The mode that a stretch without unhealthy heartbeats makes of ``start``.
+
+    ``ok``: it has a healthy heartbeat; ``early``: a completion before any; ``done``: a completion after one.
+    """
+    return (
+        F.when(done, "online")
+        .when(start == "reconciling", F.when(early, "online").otherwise("reconciling"))
+        .when(start.isin("degraded", "isolated") & ok, "reconciling")
+        .otherwise(start)
+    )
+
+
+def _composed(steps: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """Adds the composition of all steps of ``part`` up to each row: the mode last set (``start``, null: none) and the stretch since.
+
+    A step sets a mode (``reset``), is a healthy heartbeat (``ok``) or a completion (``completion``).  All compositions of such
+    steps are of this form, so the prefix is four running values; the second pair of windows keeps the first one's partitioning.
+    """
+    steps = steps.withColumn("_stretch", F.count("reset").over(Window.partitionBy(*part).orderBy(*order)))
+    sofar = Window.partitionBy(*part, "_stretch").orderBy(*order)
+    steps = steps.withColumns({"start": F.max("reset").over(sofar), "seen_ok": F.max("ok").over(sofar)})
+    return steps.withColumns({
+        "early": F.max(F.col("completion") & ~F.col("seen_ok")).over(sofar),
+        "done": F.max(F.col("completion") & F.col("seen_ok")).over(sofar),
+    }).drop("_stretch")
+
+
 def mode_timeline(beats: DataFrame, completions: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Admitted heartbeats with the tenant's mode after each.
 
-    The state machine has a closed form.  An unhealthy heartbeat sets isolated or degraded by itself;
-    a healthy one is reconciling exactly while some unhealthy heartbeat is later than the last
-    completed reconciliation.  A completion counts only when the heartbeat before it was healthy.
+    The state machine as composed transitions, in two levels: steps are composed inside (tenant, days), the compositions of a
+    tenant's days are composed in turn, and a row's mode is its own composition applied to the mode its day began with.  A
+    heartbeat comes before a completion of the same time, heartbeats of one time go by heartbeat_id.  Needs a tenant.
     """
     healthy = F.lit(True)
     for d in DEPS:
         healthy = healthy & F.col(d)
-    marked = beats.withColumn("healthy", healthy)
-    bucket = 24 * settings.bucket_hours * HOUR_US
-    marks = marked.select(
-        "tenant_id", F.col("at_us").alias("at"),
-        F.when(F.col("healthy"), F.col("at_us")).alias("ok_us"),
-        F.when(~F.col("healthy"), F.col("at_us")).alias("down_us"),
-    )
-    done = running_at(marks, completions.select("tenant_id", F.col("at_us").alias("at")).distinct(),
-                      ["tenant_id"], "at", maxs=["ok_us", "down_us"], bucket_us=bucket)
-    counted = done.filter(F.col("ok_us") > F.coalesce("down_us", F.lit(-1))).select(
-        "tenant_id", "at", F.col("at").alias("done_us"))
-    data = marks.select("tenant_id", "at", "down_us").unionByName(counted, allowMissingColumns=True)
-    asked = marked.withColumn("at", F.col("at_us"))
-    known = running_at(data, asked, ["tenant_id"], "at", maxs=["down_us", "done_us"], bucket_us=bucket)
-    mode = (
-        F.when(~F.col("dep_core_banking"), "isolated")
-        .when(~F.col("healthy"), "degraded")
-        .when(F.col("down_us") > F.coalesce("done_us", F.lit(-1)), "reconciling")
-        .otherwise("online")
-    )
-    return known.select(*beats.columns, mode.alias("mode"))
+    down = F.when(~F.col("dep_core_banking"), "isolated").when(~healthy, "degraded")
+    steps = beats.select(
+        "tenant_id", F.col("at_us").alias("_at"), F.lit(0).alias("_kind"), F.col("heartbeat_id").alias("_id"), down.alias("reset"),
+        healthy.alias("ok"), F.lit(False).alias("completion"), F.struct(*beats.columns).alias("beat"),
+    ).unionByName(completions.select(
+        "tenant_id", F.col("at_us").alias("_at"), F.lit(1).alias("_kind"), F.lit(False).alias("ok"), F.lit(True).alias("completion"),
+    ), allowMissingColumns=True)
+    days = F.floor(F.col("_at") / (24 * settings.bucket_hours * HOUR_US)).cast("long")
+    within = cut(_composed(steps.withColumn("_b", days), ["tenant_id", "_b"], ["_at", "_kind", "_id"]), "steps")
+
+    last = within.groupBy("tenant_id", "_b").agg(
+        F.max_by(F.struct("start", "seen_ok", "early", "done"), F.struct("_at", "_kind", "_id")).alias("c"))
+    # What a day does to a mode, as at most two steps again: a mode that it sets, or a completion and then a healthy heartbeat.
+    mode = _after(F.col("c.start"), F.col("c.seen_ok"), F.col("c.early"), F.col("c.done"))
+    days_steps = last.select("tenant_id", "_b", mode.alias("reset"), "c.early", "c.seen_ok").select(
+        "tenant_id", "_b", "reset", F.explode(F.when(F.col("reset").isNotNull(), F.array(F.lit(0))).otherwise(
+            F.array_compact(F.array(F.when(F.col("early"), 1), F.when(F.col("seen_ok"), 2))))).alias("_kind"),
+    ).withColumns({"completion": F.col("_kind") == 1, "ok": F.col("_kind") == 2})
+    ends = _composed(days_steps, ["tenant_id"], ["_b", "_kind"]).groupBy("tenant_id", "_b").agg(F.max_by(
+        _after(F.coalesce("start", F.lit("online")), F.col("seen_ok"), F.col("early"), F.col("done")), "_kind").alias("end"))
+    begins = ends.select("tenant_id", "_b", F.coalesce(
+        F.lag("end").over(Window.partitionBy("tenant_id").orderBy("_b")), F.lit("online")).alias("begin"))
+
+    known = within.filter("_kind = 0").join(begins, ["tenant_id", "_b"])
+    at = _after(F.coalesce("start", "begin"), F.col("seen_ok"), F.col("early"), F.col("done"))
+    return known.select("beat.*", at.alias("mode"))
 
 
 def confidence_multiplier(mode: Column, model_available: Column, capsule_valid: Column) -> Column:
