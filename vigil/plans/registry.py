@@ -140,6 +140,17 @@ def _(i):
         "event_id", "tenant_id", "ts_us")
 
 
+_PIECES = ", ".join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'null')" for c in cols("doc_id text lang source n_chars"))
+
+
+@query("snapshot_manifest", (
+    f"with numbered as (select *, row_number() over () - 1 as place from documents),\n"
+    f"hashed as (select cast('0x' || substr(sha256(concat_ws('|', cast(place as varchar), {_PIECES})), 1, 15) as bigint) as h from numbered)\n"
+    "select 'documents.parquet' as file, count(*) as rows, cast(sum(h) as varchar) as digest from hashed"))
+def _(i):
+    return io.snapshot_manifest(i.spark, f"{i.sf_dir}/documents.parquet").select("file", "rows", "digest")
+
+
 @query("outbox_emit", with_cte(
     O.DECIDED + ",\nlc as (select 'order_' || cast(l_orderkey as varchar) as event_id, "
     + adapter.LIFECYCLE_STATE + " as to_state from lineitem)",
