@@ -263,18 +263,24 @@ def sketch_score(latest: DataFrame, at_us: int) -> DataFrame:
     )
 
 
+def _event_key(df: DataFrame) -> list[str]:
+    """Tenants number their events apart; rows without a tenant go by event alone."""
+    return [c for c in ("tenant_id", "event_id") if c in df.columns]
+
+
 def sketch_lookup(indicators: DataFrame, latest: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Best summary per indicator row (columns: event_id, kind, value, at_us).
+    """Best summary per indicator row (columns: event_id, kind, value, at_us, and tenant_id where there is one).
 
     Each row is tokenised for its candidate epochs and equi-joined on the token.  A token has at most
     one current report per institution, so the join fans out by the number of enrolled institutions.
     A report counts only once it has been observed.
     """
+    event = _event_key(indicators)
     clean = normalise_indicator(F.col("kind"), F.col("value"))
     asked = (
         indicators.withColumn("_clean", clean).filter("_clean is not null")
         .withColumn("_epoch", F.explode(candidate_epochs(F.col("at_us"), settings)))
-        .select("event_id", "kind", "at_us",
+        .select(*event, "kind", "at_us",
                 indicator_token(F.col("kind"), F.col("_clean"), F.col("_epoch"), settings)
                 .alias("indicator_token"))
     )
@@ -282,19 +288,19 @@ def sketch_lookup(indicators: DataFrame, latest: DataFrame, settings: Settings =
     matched = asked.join(reports.drop("status"), ["kind", "indicator_token"]).filter(
         (F.col("observed_us") <= F.col("at_us")) & (F.col("expires_us") > F.col("at_us"))
     )
-    per_token = matched.groupBy("event_id", "kind", "indicator_token").agg(
+    per_token = matched.groupBy(*event, "kind", "indicator_token").agg(
         F.count_distinct("institution_token").alias("institutions"),
         F.count(F.lit(1)).alias("active_reports"),
         (F.sum(_weighted(F.col("at_us"))) / F.count(F.lit(1))).alias("quality"),
         F.min("expires_us").alias("expires_us"),
     )
     scored = _scored(per_token)
-    best = scored.groupBy("event_id", "kind").agg(
+    best = scored.groupBy(*event, "kind").agg(
         F.max(F.struct("score", "institutions", "confidence", "active_reports", "status", "expires_us"))
         .alias("b")
     )
     return best.select(
-        "event_id", "kind", "b.score", F.col("b.institutions").alias("independent_institutions"),
+        *event, "kind", "b.score", F.col("b.institutions").alias("independent_institutions"),
         "b.confidence", "b.active_reports", "b.status", "b.expires_us",
     )
 
@@ -313,19 +319,19 @@ def event_indicators(staged: DataFrame) -> DataFrame:
                F.struct(F.lit("campaign").alias("kind"),
                         F.array_join("campaign_stages", "|").alias("value"))),
     ))
-    return staged.select("event_id", F.col("ts_us").alias("at_us"), F.inline(items))
+    return staged.select(*_event_key(staged), F.col("ts_us").alias("at_us"), F.inline(items))
 
 
 def sketch_match(lookup: DataFrame) -> DataFrame:
     """Per event: the best of its matched indicators and how many matched."""
     place = F.when(F.col("kind") == "recipient", 0).when(F.col("kind") == "agent_terminal", -1).otherwise(-2)
-    return lookup.groupBy("event_id").agg(
+    return lookup.groupBy(*_event_key(lookup)).agg(
         F.max(F.struct("score", "independent_institutions", place.alias("place"), "confidence",
                        "active_reports", "status", "kind")).alias("b"),
         F.count(F.lit(1)).alias("matches"),
         F.array_join(F.sort_array(F.collect_set("kind")), "|").alias("matched_indicators"),
     ).select(
-        "event_id", F.col("b.score").alias("sketch_best"),
+        *_event_key(lookup), F.col("b.score").alias("sketch_best"),
         F.col("b.independent_institutions").alias("sketch_institutions"),
         F.col("b.confidence").alias("sketch_confidence"),
         F.col("b.active_reports").alias("sketch_active_reports"),
@@ -397,8 +403,9 @@ def privacy_violations(shared: DataFrame, raw_ids: DataFrame) -> DataFrame:
 def sketch_status(indicators: DataFrame, latest: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Public view of asked indicators: no tokens, no institutions, no source values."""
     found = sketch_lookup(indicators, latest, settings)
-    return indicators.select("event_id", "kind").join(found, ["event_id", "kind"], "left").select(
-        "event_id", "kind", F.coalesce("score", F.lit(0.0)).alias("score"),
+    asked = [*_event_key(indicators), "kind"]
+    return indicators.select(*asked).join(found, asked, "left").select(
+        *asked, F.coalesce("score", F.lit(0.0)).alias("score"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("independent_institutions", F.lit(0)).alias("independent_institutions"),
         F.coalesce("active_reports", F.lit(0)).alias("active_reports"),

@@ -138,7 +138,7 @@ def scored_events(
     else:
         indicators = event_indicators(campaigned(features.where(reachable)))
         matches = cut(sketch_match(sketch_lookup(indicators, sketches, settings)))
-        df = df.join(matches, "event_id", "left")
+        df = df.join(matches, EVENT_KEY, "left")
     df = decision_confidence(sketch_apply(df))
     outage = F.col("resilience_mode") != "online"
     if "confidence_multiplier" in df.columns:
