@@ -371,6 +371,21 @@ def test_jaccard_components(docs, plain, nothing, size, num):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_every_link_of_a_group_of_near_copies_is_counted(spark):
+    """Copies are one class, linked texts of one component count each other, and a repeated row counts once."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:5 * k], f"other{k}", *base[5 * k + 1:]]) for k in range(8)] + ["alone " * 3]
+    rows = [*enumerate(texts), (20, texts[0]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {t: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for t in texts for w in [t.split()]}
+    links = {t: sum(o != t and 100 * len(sets[o] & sets[t]) >= 85 * len(sets[o] | sets[t]) for o in texts) for t in texts}
+    assert set(links.values()) == {0, 7}
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((i, links[t]) for i, t in rows)
+    spanned = jaccard_join.jaccard_components(docs, every_link=False).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((r.doc_id, r.component_id) for r in spanned)
+
+
 def test_pigeonhole_loses_no_pair():
     """Random pairs at the threshold meet in an index entry, for sets of all band sizes and with every allocation."""
     rng = np.random.default_rng(2)

@@ -7,10 +7,10 @@ So it is enough to index each segment's subset (t = 0), or its subset and its on
 band is entered in the next band too, so that every pair that may link meets in one band.  ``allocation`` picks
 the t_i of a band by cost.
 
-Work follows classes, not copies: documents with the same set are one node.  Inside an index entry only pairs with
-the entry's smallest class are compared at first; what these links connect is not compared again.  Entries
-whose classes are still apart then give the pairs across components, pruned by sizes and by parity bitmaps, both
-exact bounds.  Every remaining pair is verified on the texts themselves.
+Work follows classes, not copies: documents with the same set are one node.  The pairs of classes that share an index entry are
+pruned by sizes and by parity bitmaps, both exact bounds, and every remaining pair is verified on the texts themselves.
+Where only components are asked for, pairs with an entry's smallest class come first and what these links connect is not
+compared again.
 """
 
 from __future__ import annotations
@@ -314,18 +314,20 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, id: str, text:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     rows = head_rows.union(tail_rows).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return tb.mapped(rows, verify, "a long, b long")
+    # A repeated row brings a text twice.
+    return tb.mapped(rows, verify, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100,
-                       common: float = 0.3, lower: bool = True) -> DataFrame:
+                       common: float = 0.3, lower: bool = True, every_link: bool = True) -> DataFrame:
     """id, n_shingles, class, n_links and component_id of every document.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text (A-Z lower-cased); a set holds the distinct ``size``-word shingles, of a
     shorter text its whole word sequence, of a null, empty or blank text nothing, and then it links with nothing.
     Documents link when ``den`` * intersection >= ``num`` * union; ``component_id`` is the smallest id that links
-    reach, ``n_links`` counts the document's verified links between different sets that the join kept (enough to span
-    its component).  Rows that repeat an id each give a row; other columns are not carried.
+    reach, ``n_links`` counts the other sets that the document's set links with.  Without ``every_link`` only links
+    enough to span the components are looked for, which gives the same components and no ``n_links``.
+    Rows that repeat an id each give a row; other columns are not carried.
     """
     scratch = Scratch(docs.sparkSession)
     cut = scratch.cut
@@ -348,39 +350,51 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     def verified(pairs: DataFrame) -> DataFrame:
         return cut(linked(pairs, docs, members, id, text, size, num, den, lower, cut=cut), "links")
 
-    first = cut(pruned(met.where(F.col("first") != F.col("class")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()), "pairs")
-    links = verified(first)
-    joined = components(links, cut=cut)
-
     def parts(joined: DataFrame) -> DataFrame:
         return met.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").select(
             "entry", "class", F.coalesce("component", "class").alias("component"))
 
-    # Entries that these links leave apart compare their classes with another one of them, twice; one order of all
-    # classes names it, so a large group of near copies meets few of them and grows together by a row for each class.
-    tried = first
-    for again in range(2):
-        part = parts(joined)
-        named = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(
-            F.struct("class", "component"), F.struct(F.xxhash64("class", F.lit(again)), "class")).alias("head")).where("x <> y")
-        ahead = part.join(named.select("entry", "head"), "entry").where(F.col("component") != F.col("head.component"))
-        ahead = ahead.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
-        more = cut(pruned(cut(ahead, "ahead").join(tried, ["a", "b"], "left_anti")), "pairs")
-        links = cut(links.union(verified(more)), "links")
-        tried = cut(tried.union(more), "tried")
+    def spanning() -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links between near classes of an entry, the pairs that were compared for them, and their components."""
+        first = cut(pruned(met.where(F.col("first") != F.col("class")).select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()), "pairs")
+        links = verified(first)
         joined = components(links, cut=cut)
 
-    # What is still apart gives the pairs across components.  The bitmaps are compared inside the join, the narrow ones first, so
-    # that of a large group of near copies only pairs leave it that may link.
-    part = parts(joined)
-    open_entries = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
-    sized = part.join(open_entries, "entry").join(members.select("class", "n", "least", "bits", "half"), "class")
+        # Entries that these links leave apart compare their classes with another one of them, twice; one order of all
+        # classes names it, so a large group of near copies meets few of them and grows together by a row for each class.
+        tried = first
+        for again in range(2):
+            part = parts(joined)
+            named = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min_by(
+                F.struct("class", "component"), F.struct(F.xxhash64("class", F.lit(again)), "class")).alias("head")).where("x <> y")
+            ahead = part.join(named.select("entry", "head"), "entry").where(F.col("component") != F.col("head.component"))
+            ahead = ahead.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
+            more = cut(pruned(cut(ahead, "ahead").join(tried, ["a", "b"], "left_anti")), "pairs")
+            links = cut(links.union(verified(more)), "links")
+            tried = cut(tried.union(more), "tried")
+            joined = components(links, cut=cut)
+        return links, tried, joined
+
+    if every_link:
+        part = met.select("entry", "class", F.col("class").alias("component"))
+    else:
+        links, tried, joined = spanning()
+        part = parts(joined)
+        open_entries = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
+        part = part.join(open_entries, "entry")
+
+    # The pairs across components; where every link counts, each class is one.  The bitmaps are compared inside the join, the
+    # narrow ones first, so that of a large group of near copies only pairs leave it that may link.
+    sized = part.join(members.select("class", "n", "least", "bits", "half"), "class")
     a = sized.select("entry", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("bits").alias("xa"), F.col("half").alias("ha"))
     b = sized.select("entry", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("bits").alias("xb"), F.col("half").alias("hb"))
     across = a.join(b, (a["entry"] == b["entry"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
                     & _size_may_link("na", "nb", num, den) & _may_differ(_apart_least("la", "lb"), "na", "nb", num, den) & _may_differ(apart, "na", "nb", num, den))
-    second = cut(cut(across.select("a", "b").distinct(), "across").join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = cut(links.union(verified(second)), "links")
+    second = cut(across.select("a", "b").distinct(), "across")
+    if every_link:
+        links = verified(second)
+    else:
+        links = cut(links.union(verified(cut(second.join(tried, ["a", "b"], "left_anti"), "pairs"))), "links")
     joined = components(links, cut=cut)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
@@ -388,8 +402,9 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
         "class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if every_link else []
     out = stored.select("id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left").select(
-        F.col("id").alias(id), "n_shingles", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+        F.col("id").alias(id), "n_shingles", "class", *counted, F.coalesce("component_id", "id").alias("component_id"))
     return scratch.last(out, "near-duplicates")
 
 
