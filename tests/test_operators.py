@@ -2,6 +2,7 @@ import hashlib
 import hmac
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from vigil import config
@@ -74,6 +75,28 @@ def test_wilson_and_bootstrap_bracket_the_point(spark):
     assert ci["recall"]["resamples"] == 100
 
 
+def test_bootstrap_shuffles_totals_and_no_drawn_weights(spark):
+    """The same draws as Spark's hash names, whatever ranges the scores are dealt by, from a row for each replicate and range."""
+    scores = [None, 0.0, 0.25, 0.48, 0.481, 0.9, float("nan")]
+    rows = [(s, k % 2, k) for k in range(40) for s in scores[: 1 + k % 7]]
+    df = spark.createDataFrame(rows, "score double, label int, k int")
+    hashed = df.select("score", F.posexplode(F.array(*[F.xxhash64("score", F.lit(r), F.lit(5), F.lit("p")) for r in range(1, 9)]))).distinct()
+    value = np.array([np.nan if s is None else s for s in scores])
+    mine = evaluation.uniforms(value, np.array([s is not None for s in scores]), np.arange(1, 9), 5, "p")
+    for score, r, h in hashed.collect():
+        at = next(i for i, s in enumerate(scores) if s == score or (s is not None and score is not None and s != s and score != score))
+        assert mine[at, r] == (h % (1 << 52) + 0.5) / (1 << 52)
+    ci = evaluation.bootstrap_ci(df, 0.48, resamples=50)
+    assert "Generate explode(sequence" not in ci._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(ci.collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert sorted(evaluation.bootstrap_ci(df, 0.48, resamples=50).collect()) == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_round_trip_json_csv_parquet(spark, tmp_path):
     df = events(spark, normal_history(5))
     for fmt in ("parquet", "json", "csv"):
