@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vigil.config import Settings
 from vigil.functions.scalars import DAY_US, HOUR_US
-from vigil.operators.sender import account_history
+from vigil.operators.sender import account_history, window_history, with_learned
 from vigil.operators.timeline import neighbours, positions, running_at, time_slices
 from vigil.operators.topk import top_per_key
 
@@ -81,6 +81,34 @@ def test_history_is_the_whole_look_back(spark, days):
             for r in history)
 
 
+def test_no_copies_into_slices_without_home_rows(spark):
+    """A row is copied into the next slice only if the slice begins before the latest event; every look-back stays whole."""
+    lookback, latest = 10, 33
+    df = spark.createDataFrame([(None,)] + [(t,) for t in range(-25, latest + 1)], "at long")
+    sliced = time_slices(df, "at", lookback, latest).collect()
+    held = {(r["at"], r["_slice"]) for r in sliced}
+    assert len(held) == len(sliced) and (None, None) in held
+    assert {r["_slice"] for r in sliced if r["at"] is not None} == set(range(-2, 2))
+    for t in range(-25, latest + 1):
+        assert [r["_slice"] for r in sliced if r["at"] == t and r["_home"]] == [t // 20]
+        assert all((s, t // 20) in held for s in range(max(-25, t - lookback), t))
+    assert len(time_slices(df, "at", lookback).collect()) > len(sliced)
+
+
+def test_latest_time_changes_no_history(spark):
+    rng = random.Random(12)
+    rows = [event(f"e{i}", rng.choice("ab"), NOW + timedelta(hours=rng.randrange(24 * 9)), amount=float(rng.randint(1, 50)),
+                  recipient_id=rng.choice(["r1", "r2"])) for i in range(80)]
+    df = events(spark, rows)
+    settings = Settings(lookback_days=2)
+    until = df.agg(F.max("ts_us")).first()[0]
+    plain = account_history(df, settings)
+    known = with_learned(window_history(df, settings, until), df, settings, until=until)
+    def key(row):
+        return row["event_id"]
+    assert sorted(known.select(*plain.columns).collect(), key=key) == sorted(plain.collect(), key=key)
+
+
 def test_top_per_key(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), "id")
     got = top_per_key(df, ["k"], [F.col("id").desc()], 3, "id").collect()
