@@ -386,6 +386,48 @@ def test_every_link_of_a_group_of_near_copies_is_counted(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((r.doc_id, r.component_id) for r in spanned)
 
 
+def test_entries_with_the_same_classes_are_one():
+    entry, name = np.repeat(np.arange(4), 2), np.array([5, 9, 9, 5, 5, 7, 8, 8])
+    batch = pa.RecordBatch.from_arrays([pa.array(entry), pa.array(name)], names=["entry", "class"])
+    got = [r for x in jaccard_join._meetings(iter([batch])) for r in x.to_pylist()]
+    lists = {}
+    for r in got:
+        lists.setdefault(r["entry"], []).append((r["class"], r["first"]))
+    assert sorted(sorted(x) for x in lists.values()) == [[(5, 5), (5, 5), (9, 5), (9, 5)], [(5, 5), (7, 5)]]
+
+
+def test_links_of_a_large_group_are_counted_without_its_pairs(spark, monkeypatch):
+    """A dense group is counted by blocks of its texts, one or several; the pairs that are verified one by one grow with its classes."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base[:5 * k], f"other{k}", *base[5 * k + 1:]]) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (90, texts[0]), (91, "alone")], "doc_id long, text string")
+    sizes, linked = [], jaccard_join.linked
+
+    def counted(pairs, *args, **kwargs):
+        sizes.append(pairs.count())
+        return linked(pairs, *args, **kwargs)
+
+    monkeypatch.setattr(jaccard_join, "linked", counted)
+    for block in (200_000, 2000):
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
+        sizes.clear()
+        got = jaccard_join.jaccard_components(docs).collect()
+        assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == sorted([(i, 0, 39) for i in [*range(40), 7, 90]] + [(91, 91, 0)])
+        assert sum(sizes) < 5 * 40 < 40 * 39 / 2
+
+
+def test_links_of_a_sparse_component_are_counted(spark, monkeypatch):
+    """A chain, where each text links with a few others; blocks of one text each would copy every text to all others."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)
+    line = [f"w{i}" for i in range(600)]
+    texts = [" ".join(line[10 * k : 10 * k + 200]) for k in range(30)]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in map(str.split, texts)]
+    links = [sum(a is not b and 100 * len(a & b) >= 85 * len(a | b) for b in sets) for a in sets]
+    assert set(links) == {1, 2}
+    got = jaccard_join.jaccard_components(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(i, 0, n) for i, n in enumerate(links)]
+
+
 def test_pigeonhole_loses_no_pair():
     """Random pairs at the threshold meet in an index entry, for sets of all band sizes and with every allocation."""
     rng = np.random.default_rng(2)

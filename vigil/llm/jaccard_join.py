@@ -9,8 +9,9 @@ the t_i of a band by cost.
 
 Work follows classes, not copies: documents with the same set are one node.  The pairs of classes that share an index entry are
 pruned by sizes and by parity bitmaps, both exact bounds, and every remaining pair is verified on the texts themselves.
-Where only components are asked for, pairs with an entry's smallest class come first and what these links connect is not
-compared again.
+Entries with the same list of classes are one.  For components, pairs with an entry's smallest class come first and what
+these links connect is not compared again.  The links inside a component are counted by blocks of its texts, so a dense
+component makes no row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BITMAP = 8
 BAND_GROWTH = 1.35
 #: Class ids that may be broadcast, counted before.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of about one block of a component's texts.
+BLOCK_SHINGLES = 200_000
 
 
 def most_difference(total: int, num: int, den: int) -> int:
@@ -215,7 +218,11 @@ def sketches(docs: DataFrame, id: str, text: str, size: int, num: int, den: int,
 
 
 def _meetings(batches):
-    """(entry, class, first): rows of each entry with two or more classes, from rows sorted by entry and class."""
+    """(entry, class, first): rows of each entry with two or more classes, from rows sorted by entry.
+
+    The entry given is the hash of its list of classes, so entries that bring the same classes together become equal rows;
+    were two lists to share a hash, their classes would meet all the same.
+    """
     def give(entry, name):
         order = np.lexsort((name, entry))
         entry, name = entry[order], name[order]
@@ -224,6 +231,9 @@ def _meetings(batches):
         start = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
         n = np.diff(np.r_[start, len(entry)])
         keep = np.repeat(n > 1, n)
+        if len(entry):
+            lists = np.add.reduceat(tb.mix(name.view(np.uint64)), start)
+            entry = np.repeat(tb.mix(lists + n.astype(np.uint64)).view(np.int64), n)
         return pa.RecordBatch.from_arrays([pa.array(entry[keep]), pa.array(name[keep]), pa.array(np.repeat(name[start], n)[keep])], names=["entry", "class", "first"])
 
     held_e, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -259,29 +269,39 @@ def _may_differ(apart, a: str, b: str, num: int, den: int):
     return apart * (num + den) <= (den - num) * (F.col(a) + F.col(b))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, id: str, text: str, size: int, num: int, den: int,
-           lower: bool = True, per_group: int = 200, cut=cut) -> DataFrame:
-    """The pairs (a, b) of classes whose word shingles, compared as text, reach the Jaccard of num / den.
-
-    Each pair brings the text of b to the group of a; a popular a is split into groups of about ``per_group`` pairs
-    with a copy of its text each.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(members, "class").select("class", "rep")
-    wanted, _ = small(cut(wanted, "wanted"), BROADCAST_ROWS)
+def class_texts(wanted: DataFrame, docs: DataFrame, id: str, text: str, size: int, lower: bool) -> DataFrame:
+    """class and text of the stored rows (class, rep); rows that repeat an id may repeat a class."""
+    wanted, _ = small(wanted, BROADCAST_ROWS)
     texts = docs.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text"))
 
     def own_class(batches):
         # Rows may repeat an id with another text; only the text of the class stays.
         for batch in batches:
-            names = batch.column(1).to_numpy()
+            names = batch.column(0).to_numpy()
             same = np.zeros(batch.num_rows, bool)
-            for lo, _, found in _sets(batch.column(2), size, lower):
+            for lo, _, found in _sets(batch.column(1), size, lower):
                 for i, x in enumerate(found, lo):
                     same[i] = _class_of(x) == names[i]
             yield batch.filter(pa.array(same))
 
-    texts = tb.mapped(texts.join(wanted, "rep").select("rep", "class", "text"), own_class, "rep long, class long, text string")
-    texts = cut(texts.select("class", "text"), "texts")
+    return tb.mapped(texts.join(wanted, "rep").select("class", "text"), own_class, "class long, text string")
+
+
+def _shingle_set(value: str, size: int, lower: bool) -> set:
+    data = value.encode("utf-8", "surrogatepass")
+    words = (data.lower() if lower else data).split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, id: str, text: str, size: int, num: int, den: int,
+           lower: bool = True, per_group: int = 200, cut=cut) -> DataFrame:
+    """The pairs (a, b) of classes whose word shingles, compared as text, reach the Jaccard of num / den.
+
+    Each pair brings the text of b to the group of a; a popular a is split into groups of about ``per_group`` pairs
+    with a copy of its text each.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(members, "class").select("class", "rep")
+    texts = cut(class_texts(cut(wanted, "wanted"), docs, id, text, size, lower), "texts")
     load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_group).alias("parts"))
     heads = load.select(F.col("a").alias("class"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
     tails = pairs.join(load, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("class"))
@@ -291,17 +311,12 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, id: str, text:
     def verify(batches):
         at, own = None, []
 
-        def sets(value: str) -> set:
-            data = value.encode("utf-8", "surrogatepass")
-            words = (data.lower() if lower else data).split()
-            return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
         for batch in _pieces(batches, 500):
             out_a, out_b = [], []
             for a, part, b, value in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (a, part) != at:
                     at, own = (a, part), []
-                found = sets(value or "")
+                found = _shingle_set(value or "", size, lower)
                 if b is None:
                     own.append(found)
                     continue
@@ -318,6 +333,64 @@ def linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, id: str, text:
     return tb.mapped(rows, verify, "a long, b long").distinct()
 
 
+def _links_of(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of ``right`` each set of ``left`` links with, and the other way round; None: ``left`` with itself."""
+    other = left if right is None else right
+    sizes = np.fromiter(map(len, other), np.int64, len(other))
+    owner, value = np.repeat(np.arange(len(other)), sizes), np.concatenate([*other, np.zeros(0, np.int64)])
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(other), np.int64)
+    for k, found in enumerate(left):
+        lo, hi = np.searchsorted(value, found), np.searchsorted(value, found, "right")
+        n = hi - lo
+        both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(other))
+        link = (both > 0) & (den * both >= num * (len(found) + sizes - both))
+        if right is None:
+            link[k] = False
+        mine[k] = link.sum()
+        theirs += link
+    return mine, theirs
+
+
+def links_inside(groups: DataFrame, texts: DataFrame, size: int, num: int, den: int, lower: bool) -> DataFrame:
+    """class and n_links of the rows (class, component, parts): links with other classes of the component.
+
+    A component's classes are dealt to ``parts`` blocks, and each two blocks, or one with itself, are compared together on the
+    texts: a class makes ``parts`` rows, and a task holds two blocks.
+    """
+    own = F.pmod(F.xxhash64("class"), "parts").cast("int")
+    dealt = groups.select("class", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("to"))
+    dealt = dealt.select("class", "component", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block")
+    rows = texts.join(dealt, "class").select("component", "i", "j", "block", "class", "text")
+    rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def count(batches):
+        at, held, numbers = None, ({}, {}), {}
+
+        def done():
+            left, right = (list(x.values()) for x in held)
+            mine, theirs = _links_of(left, right if at[1] < at[2] else None, num, den)
+            names = [*held[0], *held[1]]
+            n = np.concatenate([mine, theirs]) if at[1] < at[2] else mine
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n, pa.int64())], names=["class", "n_links"])
+
+        for batch in _pieces(batches, 500):
+            for component, i, j, block, name, value in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if (component, i, j) != at:
+                    if at:
+                        yield done()
+                    at, held, numbers = (component, i, j), ({}, {}), {}
+                side = held[0 if block == i else 1]
+                if name not in side:  # a repeated row brings a text twice
+                    found = _shingle_set(value or "", size, lower)
+                    side[name] = np.fromiter((numbers.setdefault(x, len(numbers)) for x in found), np.int64, len(found))
+        if at:
+            yield done()
+
+    return tb.mapped(rows, count, "class long, n_links long").groupBy("class").agg(F.sum("n_links").alias("n_links"))
+
+
 def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100,
                        common: float = 0.3, lower: bool = True, every_link: bool = True) -> DataFrame:
     """id, n_shingles, class, n_links and component_id of every document.
@@ -335,7 +408,7 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     members = cut(stored.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n"), *(F.first(x, ignorenulls=True).alias(x) for x in ("bits", "half", "least"))), "classes")
     rows = stored.where("entries is not null").select(F.explode("entries").alias("entry"), "class")
     rows = rows.repartition("entry").sortWithinPartitions("entry")
-    met = cut(rows.mapInArrow(_meetings, "entry long, class long, first long"), "meetings")
+    met = cut(rows.mapInArrow(_meetings, "entry long, class long, first long").distinct(), "meetings")
 
     # Bits in which the widest bitmaps of one width differ; 0, which prunes nothing, where two classes have none.
     apart = (F.when(F.size("xa") == F.size("xb"), _apart("xa", "xb")).when(F.size("xa") == F.size("hb"), _apart("xa", "hb"))
@@ -375,33 +448,47 @@ def jaccard_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
             joined = components(links, cut=cut)
         return links, tried, joined
 
-    if every_link:
-        part = met.select("entry", "class", F.col("class").alias("component"))
-    else:
-        links, tried, joined = spanning()
-        part = parts(joined)
-        open_entries = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
-        part = part.join(open_entries, "entry")
-
-    # The pairs across components; where every link counts, each class is one.  The bitmaps are compared inside the join, the
-    # narrow ones first, so that of a large group of near copies only pairs leave it that may link.
-    sized = part.join(members.select("class", "n", "least", "bits", "half"), "class")
-    a = sized.select("entry", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("bits").alias("xa"), F.col("half").alias("ha"))
-    b = sized.select("entry", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("bits").alias("xb"), F.col("half").alias("hb"))
-    across = a.join(b, (a["entry"] == b["entry"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                    & _size_may_link("na", "nb", num, den) & _may_differ(_apart_least("la", "lb"), "na", "nb", num, den) & _may_differ(apart, "na", "nb", num, den))
-    second = cut(across.select("a", "b").distinct(), "across")
-    if every_link:
-        links = verified(second)
-    else:
-        links = cut(links.union(verified(cut(second.join(tried, ["a", "b"], "left_anti"), "pairs"))), "links")
+    def across(part: DataFrame) -> DataFrame:
+        """The pairs of an entry's classes from different components that may link.
+
+        The bitmaps are compared inside the join, the narrow ones first, so that of a large group only such pairs leave it.
+        """
+        sized = part.join(members.select("class", "n", "least", "bits", "half"), "class")
+        a = sized.select("entry", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("bits").alias("xa"), F.col("half").alias("ha"))
+        b = sized.select("entry", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("bits").alias("xb"), F.col("half").alias("hb"))
+        pairs = a.join(b, (a["entry"] == b["entry"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+                       & _size_may_link("na", "nb", num, den) & _may_differ(_apart_least("la", "lb"), "na", "nb", num, den) & _may_differ(apart, "na", "nb", num, den))
+        return cut(pairs.select("a", "b").distinct(), "across")
+
+    links, tried, joined = spanning()
+    part = parts(joined)
+    open_entries = part.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("entry")
+    second = across(part.join(open_entries, "entry"))
+    links = cut(links.union(verified(cut(second.join(tried, ["a", "b"], "left_anti"), "pairs"))), "links")
     joined = components(links, cut=cut)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    def degrees() -> DataFrame:
+        """class and n_links: by blocks where a component's entries pair its classes more often than blocks copy them, by pairs in others."""
+        inside = cut(joined.select(F.col("node").alias("class"), "component").join(members.select("class", "rep", "n"), "class"), "inside")
+        shared = met.join(inside.select("class", "component"), "class")
+        paired = shared.groupBy("entry", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("component").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("paired"))
+        sizes = inside.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+        sizes = cut(sizes.join(paired, "component").withColumn("dense", F.col("g") * F.col("parts") <= F.col("paired")), "sizes")
+        groups = cut(inside.join(sizes.where("dense").select("component", "parts"), "component"), "groups")
+        out = links_inside(groups.select("class", "component", "parts"), class_texts(groups.select("class", "rep"), docs, id, text, size, lower), size, num, den, lower)
+        sparse = sizes.where("not dense").select("component")
+        if not sparse.isEmpty():
+            apart_rows = shared.join(sparse, "component").select(F.xxhash64("entry", "component").alias("entry"), "class", F.col("class").alias("component"))
+            found = verified(across(apart_rows))
+            out = out.union(found.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links")))
+        return out
+
     named = members.join(joined.select(F.col("node").alias("class"), "component"), "class", "left").select(
         "class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").join(degree, "class", "left").select("class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(least, "component").select("class", "component_id")
+    if every_link:
+        named = named.join(degrees(), "class", "left")
     counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if every_link else []
     out = stored.select("id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left").select(
         F.col("id").alias(id), "n_shingles", "class", *counted, F.coalesce("component_id", "id").alias("component_id"))
